@@ -36,9 +36,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op6_toxicity": op6_toxicity}
+    return {
+        "op1_language_id": op1_language_id,
+        "op6_toxicity": op6_toxicity,
+        "op8_license_scan": op8_license_scan,
+        "op9_source_mixing": op9_source_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kinweave.llm import licenses, mixing
+
+    return {"op8_license_scan": licenses.oracle_sql(), "op9_source_mixing": mixing.SQL}
