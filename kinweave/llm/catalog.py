@@ -27,6 +27,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm.toxicity import score_toxicity
 
@@ -51,6 +57,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_html_text": op2_html_text,
         "op6_toxicity": op6_toxicity,
         "op8_license_scan": op8_license_scan,
         "op9_source_mixing": op9_source_mixing,
