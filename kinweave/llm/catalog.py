@@ -42,6 +42,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.topk import search
+
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm.licenses import scan_licenses
 
@@ -54,11 +60,25 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+TOPK_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_html_text": op2_html_text,
         "op6_toxicity": op6_toxicity,
+        "op7_exact_topk": op7_exact_topk,
         "op8_license_scan": op8_license_scan,
         "op9_source_mixing": op9_source_mixing,
     }
@@ -67,4 +87,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from kinweave.llm import licenses, mixing
 
-    return {"op8_license_scan": licenses.oracle_sql(), "op9_source_mixing": mixing.SQL}
+    return {"op7_exact_topk": TOPK_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_source_mixing": mixing.SQL}
