@@ -69,11 +69,11 @@ def scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def block_of(ids: np.ndarray, q: np.ndarray, reach: float, k: int) -> SimpleNamespace:
-    """A block of queries with the interval [low, low + width * BINS) that holds each one's k-th score, and how many are wanted from it."""
+    """A block of queries with the interval [low, low + span) that holds each one's k-th score, and how many are wanted from it."""
     bound = np.ceil(np.sqrt((q * q).sum(1)) * reach) + 1  # Cauchy and Schwarz
     bound = np.minimum(bound, 2.0**60).astype(np.int64)
     width = np.maximum(1, -(-(2 * bound + 1) // BINS))
-    return SimpleNamespace(ids=ids, q=q, k=k, low=-bound, width=width, need=np.full(len(ids), k), done=np.zeros(len(ids), bool))
+    return SimpleNamespace(ids=ids, q=q, k=k, low=-bound, span=2 * bound + 1, width=width, need=np.full(len(ids), k), done=np.zeros(len(ids), bool))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], block: SimpleNamespace, dim: int) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch], block: SimpleNamespace, dim: int)
             for b in range(0, n, SUB):
                 s = scores(c, block.q[b : b + SUB])
                 at = (s - block.low[b : b + SUB]) // block.width[b : b + SUB]
-                inside = (at >= 0) & (at < BINS) & (ids[:, None] != block.ids[b : b + SUB])
+                inside = (s >= block.low[b : b + SUB]) & (s - block.low[b : b + SUB] < block.span[b : b + SUB]) & (ids[:, None] != block.ids[b : b + SUB])
                 cell = np.where(inside, at, BINS) + np.arange(s.shape[1]) * (BINS + 1)
                 got = np.bincount(cell.ravel(), minlength=s.shape[1] * (BINS + 1)).reshape(-1, BINS + 1)
                 total[b : b + SUB] += got[:, :BINS]
@@ -180,6 +180,7 @@ def _refine(slim: DataFrame, block: SimpleNamespace, dim: int) -> SimpleNamespac
         if block.width[r.q] == 1:
             new.done[r.q] = True
         else:
+            new.span[r.q] = block.width[r.q]
             new.width[r.q] = max(1, -(-block.width[r.q] // BINS))
     new.done |= ~seen
     return new
