@@ -33,6 +33,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm.toxicity import score_toxicity
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_html_text": op2_html_text,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_exact_topk": op7_exact_topk,
         "op8_license_scan": op8_license_scan,
