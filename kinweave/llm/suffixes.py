@@ -159,12 +159,12 @@ def digits(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
     return a, b
 
 
-def group_min(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the smallest id of its group, and whether it stands first in it; the order is that of the digits, singles leave after the first."""
+def group_min(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window the smallest id of its group; the order is that of the digits, singles leave after the first."""
     n = len(a)
-    least, first = ids.copy(), np.ones(n, bool)
+    least = ids.copy()
     if n < 2:
-        return least, first
+        return least
     order = np.argsort(a)
     x = a[order]
     same = x[1:] == x[:-1]
@@ -173,14 +173,13 @@ def group_min(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray
     live[:-1] |= same
     o = order[live]
     if not len(o):
-        return least, first
+        return least
     o = o[np.lexsort((ids[o], b[o], a[o]))]
     head = np.ones(len(o), bool)
     head[1:] = (a[o[1:]] != a[o[:-1]]) | (b[o[1:]] != b[o[:-1]])
     group = np.cumsum(head) - 1
     least[o] = ids[o[head]][group]
-    first[o] = head
-    return least, first
+    return least
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +302,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         place, run = spread(start, n)
         a, b = digits(raw, place, length)
         doc = ids[row][run]
-        least, first = group_min(a, b, doc)
+        least = group_min(a, b, doc)
         marked = doc > least
         out = []
         # Marked here already: as runs of places, on their way to the last stage.
@@ -311,7 +310,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         if len(s):
             out.append((int(chunk % buckets), chunk, 1, len(s), 0, pack((s - offsets[r]).astype(np.int32), m.astype(np.int32), r.astype(np.int32))))
         # Unmarked windows that other chunks may hold too.
-        open_ = first & ~marked
+        open_ = ~marked  # the group's smallest id, at every place that it has the window
         each = np.zeros(len(key), bool)
         each[run[open_]] = True
         go = each & wide & ~burning
@@ -354,7 +353,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         if aa:
             a, b, d, p, r, c = map(np.concatenate, (aa, bb, doc, place, row, where))
             aa, bb, doc, place, row, where = [], [], [], [], [], []
-            least, _ = group_min(a, b, d)
+            least = group_min(a, b, d)
             mark = d > least
             p, r, c = p[mark], r[mark], c[mark]
             o = np.lexsort((p, r, c))
