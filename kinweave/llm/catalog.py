@@ -39,6 +39,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm.toxicity import score_toxicity
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_html_text": op2_html_text,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_minhash_neardup": op5_minhash_neardup,
         "op6_toxicity": op6_toxicity,
         "op7_exact_topk": op7_exact_topk,
         "op8_license_scan": op8_license_scan,
