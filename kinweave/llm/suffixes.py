@@ -119,7 +119,7 @@ def runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
             g = np.minimum(g[: len(g) - (span - size)], g[span - size :])
         at = (g & _POS).astype(np.int64)
         edge = np.zeros(n + 1, np.int32)
-        np.add.at(edge, starts - lo, 1)
+        np.add.at(edge, np.minimum(starts - lo, n), 1)
         np.add.at(edge, np.minimum(ends - lo, n), -1)
         ok = np.cumsum(edge[:n]) > 0
         first = ok.copy()
