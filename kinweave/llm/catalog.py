@@ -20,10 +20,10 @@ def held_out(id_col: str) -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinweave.llm.langid import identify
+    from kinweave.llm.langid import fit, identify
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = identify(docs.select("doc_id", "text"), docs.where(~held_out("doc_id")))
+    out = identify(docs, fit(docs.where(~held_out("doc_id"))))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
@@ -72,6 +72,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.pieces import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 TOPK_SQL = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -87,6 +93,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def queries() -> dict[str, Query]:
     return {
+        "op10_sentencepiece": op10_sentencepiece,
         "op1_language_id": op1_language_id,
         "op2_html_text": op2_html_text,
         "op4_suffix_dedup": op4_suffix_dedup,

@@ -291,16 +291,20 @@ def bounded_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, d
     return sorted({(r.t, r.l) for r in got.collect() if r.t is not None})
 
 
-def identify(docs: DataFrame, train_rows: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200, net: ByteBiGru | None = None) -> DataFrame:
-    """``id_col``, ``lang_pred`` and ``score`` of every row of ``docs``; learns from ``train_rows`` unless ``net`` is given."""
-    if net is None and train_rows is not None:
-        net = train(bounded_sample(train_rows, id_col, text_col, lang_col, docs_per_language))
+def fit(train_rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200) -> ByteBiGru | None:
+    return train(bounded_sample(train_rows, id_col, text_col, lang_col, docs_per_language))
+
+
+def identify(docs: DataFrame, net: ByteBiGru | None, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in ``carry``, then ``lang_pred`` and ``score``, of every row of ``docs``."""
+    names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score = predict_batch(net, batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+            found, score = predict_batch(net, batch.column(0))
+            yield pa.record_batch([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    slim = docs.select(id_col, text_col)
-    kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    slim = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
+    out = slim.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score")

@@ -9,7 +9,7 @@ its target, once more the documents whose hash lies below a threshold. The
 threshold is found without sorting documents: words are summed by source and
 the leading bits of the hash, the bucket in which the running sum passes the
 budget is the boundary, and only its documents are summed again by the next
-bits. Three levels of 16 bits leave one document, or a few with equal ids, in
+bits. Four levels of 12 bits leave one document, or a few with equal ids, in
 the last bucket, which is taken if that brings the sum nearer to the budget.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is
@@ -28,7 +28,8 @@ from kinweave.llm.storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 WEIGHTS = (1, 2, 3)
-BITS = 16
+#: Buckets of a source are at most 2**BITS a level.
+BITS, LEVELS = 12, 4
 #: Up to so many sources their table (about 60 bytes a row) is broadcast; beyond it is joined by key.
 SMALL_SOURCES = 100_000
 
@@ -73,36 +74,57 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("src", "source_size", "target", "full", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("source_size")).alias("rest"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, size, source_size, target and taken of every row, and the columns named in ``carry``."""
-    rows = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("src"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), seed).alias("h"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    rows = materialize(rows, "mix-sizes")
-    key = F.when(F.col("src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("src")))
-    rows = rows.withColumn("k", key)
-    plan = materialize(source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"))).withColumn("k", key).drop("src"), "mix-plan")
+def source_key(source: Column) -> Column:
+    """A source as a join key; null is a source of its own."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+
+
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> tuple[DataFrame, DataFrame, bool]:
+    """Narrow rows (mix_id, k, size, h); the plan, a row a source: k, source_size, target, full, and the hash below which documents go in once more; whether the plan is small enough to broadcast."""
+    rows = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("src"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), seed).alias("h"))
+    rows = materialize(rows, "mix-sizes").withColumn("k", source_key(F.col("src")))
+    plan = source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")))
+    plan = materialize(plan.withColumn("k", source_key(F.col("src"))).drop("src"), "mix-targets")
     small = plan.count() <= SMALL_SOURCES
 
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    open_rows = rows.select("k", "h", "size").join(near(plan.select("k", "rest").where("rest > 0")), "k")
-    top, cut = 2 * BITS, open_rows.withColumn("at", F.lit(0).cast("long"))
+    cut = rows.select("k", "h", "size").join(near(plan.select("k", "rest").where("rest > 0")), "k")
     found = None
-    for level in range(3):
-        shift = top - level * BITS
+    for level in range(LEVELS):
+        shift = (LEVELS - 1 - level) * BITS
         by = cut.groupBy("k", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("k").orderBy("b")
-        by = by.withColumn("upto", F.sum("words").over(run))
+        by = by.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("b")))
         edge = by.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
         found = edge.select("k", "b", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), "words")
-        if level < 2:
+        if level < LEVELS - 1:
             cut = rows.select("k", "h", "size", F.shiftright("h", shift).alias("b")).join(near(found.drop("words")), ["k", "b"]).drop("b")
     # The last bucket goes in if its words overshoot by less than they would be missed.
     limit = F.when(F.col("words") - F.col("rest") < F.col("rest"), F.col("b") + 1).otherwise(F.col("b"))
-    limits = plan.join(near(found.select("k", limit.alias("below"))), "k", "left")
-    out = rows.join(near(limits), "k")
-    once_more = F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return out.select(F.col("mix_id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("full") + once_more)).cast("long").alias("taken"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+    plan = plan.join(near(found.select("k", limit.alias("below"))), "k", "left")
+    return rows, materialize(plan.drop("rest"), "mix-plan"), small
+
+
+def passes(h: Column) -> Column:
+    """How often a document is taken, given its hash and its source's row of the plan."""
+    return (F.col("full") + F.when(h < F.col("below"), 1).otherwise(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", **options: str) -> DataFrame:
+    """id, size, source_size, target and taken of every row."""
+    rows, plan, small = mix_plan(docs, id_col=id_col, **options)
+    out = rows.join(F.broadcast(plan) if small else plan, "k")
+    return out.select(F.col("mix_id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes(F.col("h"))).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
+    _, plan, small = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
+    plan = plan.select(F.col("k").alias("mix_k"), F.col("full"), F.col("below"))
+    own = docs.withColumn("mix_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("mix_row", source_key(F.col(source_col)).alias("mix_k"), hash_of(F.col(id_col), seed).alias("mix_h"))
+    out = own.join(F.broadcast(plan) if small else plan, "mix_k")
+    return out.withColumn("mix_times", passes(F.col("mix_h"))).where("mix_times > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_row.*")
 
 
 SQL = r"""

@@ -231,8 +231,8 @@ def local_keys(key: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     return k[head], np.add.reduceat(new.astype(np.int64), at) if len(at) else at, ids[r[tail]] != ids[r[at]] if len(at) else at.astype(bool)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also kept_text (bytes that no longer form a character are dropped)."""
+def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also kept_text (bytes that no longer form a character are dropped), and the columns named in ``carry``."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     buckets = chunks
     doc = F.col(id_col).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()
-    x = docs.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).alias("chunk"), doc.alias("doc"), F.col(text_col).alias("text"))
+    x = docs.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).alias("chunk"), doc.alias("doc"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     x = x.repartition(chunks, "chunk")
 
     def first_digit(table: pa.Table) -> pa.Table:
@@ -369,7 +369,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows([], final)
+            out = _rows([], final)
+            for i in range(len(carry)):
+                out = out.append_column(f"carry_{i}", pa.array([], left.column(f"carry_{i}").type))
+            return out
         table, raw, offsets, _ = _chunk(left)
         change = np.zeros(len(raw) + 1, np.int32)
         for n, blob in zip(right.column("n").to_pylist(), right.column("blob").to_pylist(), strict=True):
@@ -391,15 +394,20 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             kept = raw[a:b][~gone[a:b]].tobytes() if cutout else raw[a:b].tobytes()
             row = (d, int(b - a), cutout, int(spans[b] - spans[a]), hashlib.sha256(kept).hexdigest())
             rows.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
-        return _rows(rows, final)
+        out = _rows(rows, final)
+        for i in range(len(carry)):
+            out = out.append_column(f"carry_{i}", table.column(f"carry_{i}"))
+        return out
 
     entries = x.groupBy("chunk").applyInArrow(first_digit, E_SQL)
     replies = entries.groupBy("bucket").applyInArrow(first_groups, R_SQL)
     entries = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(second_digits, E_SQL)
     replies = entries.groupBy("bucket").applyInArrow(second_groups, R_SQL)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    schema += "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     out = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
-    return out.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", id_col)
+    fixed = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
+    return out.select(F.col("doc").cast(kind).alias(id_col), *fixed, *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def _marks(place: np.ndarray, marked: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
