@@ -33,6 +33,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinweave.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinweave.llm.suffixes import remove_repeats
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op10_sentencepiece": op10_sentencepiece,
         "op1_language_id": op1_language_id,
         "op2_html_text": op2_html_text,
+        "op3_nearest": op3_nearest,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_minhash_neardup": op5_minhash_neardup,
         "op6_toxicity": op6_toxicity,
