@@ -89,7 +89,9 @@ def test_linkage_groups(spark):
     assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 4}
 
 
-def test_plink_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("whole", [1 << 20, 1])
+def test_plink_round_trip(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(files, "WHOLE_BED", whole)
     calls = np.array([[2, 1, 0, np.nan, 2], [0, 0, 1, 1, np.nan]])
     codes = {2.0: 0, 1.0: 2, 0.0: 3}
     body = bytearray(files.BED_MAGIC)
