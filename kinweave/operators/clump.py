@@ -48,6 +48,7 @@ def ld_groups(hits: DataFrame, variants: DataFrame, *, window: int = 50_000, r2:
     Components by repeated joins to the smallest neighbouring label; a link
     stays within a chromosome window, so few rounds settle it.
     """
+    hits = hits.persist()
     links = ld_pairs(hits, variants, window).where(F.col("r2") >= r2).select("pheno_idx", "a", "b")
     links = links.unionByName(links.select("pheno_idx", F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     label = hits.select("pheno_idx", F.col("variant_idx").alias("a"), F.col("variant_idx").alias("g")).persist()
