@@ -6,22 +6,23 @@ fewer). Documents are linked if their sets' Jaccard similarity reaches the
 threshold; a document's component is named by its smallest id.
 
 1. One pass over the texts gives each document its set's size and 128-bit
-   code, 192 minima cut down to their 2 low bits (six 64-bit words, by bit
-   planes) and 38 band keys of 5 whole minima each. A pair at the threshold of
-   0.8 shares no band with a chance of 3e-7.
+   code and 38 band keys of 5 whole minima each. A pair at the threshold of 0.8
+   shares no band with a chance of 3e-7.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Candidates come from bands. Their similarity is estimated from the counts
-   of equal 2-bit values, corrected for chance collisions (a quarter agree by
-   chance); pairs below the threshold by more than ``MARGIN`` (4.3 standard
-   errors) or with sizes that rule the threshold out are dropped. All others
-   are confirmed on their full sets.
+3. Candidates come from bands. Those that share one get 1024 minima cut down
+   to their 2 low bits and packed by bit planes; similarity is estimated from
+   the counts of equal 2-bit values, corrected for chance collisions (a quarter
+   agree by chance). Pairs below the threshold by more than ``MARGIN`` (4.4
+   standard errors) or with sizes that rule the threshold out are dropped. All
+   others are confirmed on their full sets.
 4. A bucket of a band is not expanded into pairs. First every member meets the
    bucket's smallest id. Then, as long as a bucket holds more than one
    component, members meet the most similar members of other components, two
    rounds; at last all pairs between different components that are still
    untested are confirmed, so no link between components is lost. Buckets are
-   compared in blocks of at most ``BLOCK`` members by word operations, whatever
-   their size, and only pairs to confirm leave a block.
+   compared in blocks of about ``BLOCK`` members by word operations, whatever
+   their size, and only pairs to confirm leave a block, each from the first
+   band that it shares.
 5. Components are found by alternating large-star and small-star joins.
 
 Defined results: texts without words (null or empty too) have size 0, are
@@ -40,13 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.storage import materialize
-from kinweave.llm.textbytes import ASCII_LOWER, SPACES, byte_table, mix, row_slices, text_buffer, word_hashes, word_spans
+from kinweave.llm.textbytes import ASCII_LOWER, SPACES, byte_table, mix, row_slices, text_buffer, tidy, word_hashes, word_spans
 
 U64, U32 = np.uint64, np.uint32
-BANDS, ROWS, HASHES = 38, 5, 192
+BANDS, ROWS, HASHES = 38, 5, 1024
 SLICE = 1 << 20
 BLOCK = 2048
-MARGIN = 0.15
+MARGIN = 0.065
 WORDS64 = HASHES // 64
 _TABLE = byte_table(77)
 _RNG = np.random.default_rng(9)
@@ -81,16 +82,16 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     return code, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
-def minima(code: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(sets, HASHES) minima; of empty sets, the largest value."""
+def minima(code: np.ndarray, at: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """(sets, hashes) minima; of empty sets, the largest value."""
     n = len(at) - 1
-    out = np.full((n, HASHES), 0xFFFFFFFF, U32)
+    out = np.full((n, hashes), 0xFFFFFFFF, U32)
     full = np.flatnonzero(np.diff(at) > 0)
     if len(full):
         x = (code >> U64(32)).astype(U32)
         buf = np.empty_like(x)
         begin = at[:-1][full]
-        for k in range(HASHES):
+        for k in range(hashes):
             np.multiply(x, _A[k], out=buf)
             np.add(buf, _B[k], out=buf)
             out[full, k] = np.minimum.reduceat(buf, begin)
@@ -113,7 +114,7 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return keys
 
 
-FACTS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+FACTS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _facts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -122,12 +123,23 @@ def _facts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
         for a, b in row_slices(offsets, SLICE):
             code, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
             n = np.diff(at)
-            m = minima(code, at)
+            m = minima(code, at, BANDS * ROWS)
             total = np.concatenate([[U64(0)], np.cumsum(mix(code ^ U64(0xA5A5A5A5)), dtype=np.uint64)])
             other = np.concatenate([[U64(0)], np.cumsum(mix(code * U64(0xD6E8FEB86659FD93)), dtype=np.uint64)])
             ca, cb = (t[at[1:]] - t[at[:-1]] for t in (total, other))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * v.shape[1]), pa.array(np.ascontiguousarray(v).ravel())) for v in (planes(m), band_keys(m))]
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(ca.view(np.int64)), pa.array(cb.view(np.int64)), *lists], schema=FACTS)
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(ca.view(np.int64)), pa.array(cb.view(np.int64)), _rows_of(band_keys(m))], schema=FACTS)
+
+
+def _rows_of(v: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(np.ascontiguousarray(v).ravel()))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offsets = text_buffer(batch.column(1))
+        for a, b in row_slices(offsets, SLICE):
+            code, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+            yield pa.record_batch([batch.column(0).slice(a, b - a), _rows_of(planes(minima(code, at)))], names=["rep", "sig"])
 
 
 def estimate(p: str, q: str) -> Column:
@@ -156,7 +168,8 @@ def _cross(table: pa.Table, percent: int, most: int) -> pa.Table:
     """Of a block pair of one bucket: pairs of different components that may reach the threshold, the ``most`` likeliest of each member (0: all)."""
     rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
     sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1).view(np.uint64)
-    pivot = table.column("pivot").to_numpy()
+    marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    pivot, band = table.column("pivot").to_numpy(), table.column("band")[0].as_py()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     aa, bb = [], []
     floor = percent / 100 - MARGIN
@@ -170,6 +183,8 @@ def _cross(table: pa.Table, percent: int, most: int) -> pa.Table:
         low, high = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
         ok = (est >= floor) & (comp[i][:, None] != comp[right]) & (100 * low >= percent * high)
         ok &= (rep[i] != pivot[i])[:, None] & (rep[right] != pivot[right])  # those met already
+        r, c = np.nonzero(ok)
+        ok[r, c] = (marks[i[r]] == marks[right[c]]).argmax(1) == band
         if most:
             est = np.where(ok, est, -1)
             for _ in range(min(most, len(right))):
@@ -214,26 +229,28 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """id, n_shingles, component_id and kept of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    facts = slim.mapInArrow(lambda batches: _facts(batches, words), "doc long, n long, ca long, cb long, sig array<long>, bands array<long>")
+    facts = slim.mapInArrow(tidy(lambda batches: _facts(batches, words)), "doc long, n long, ca long, cb long, bands array<long>")
     facts = materialize(facts, "minhash")
     linked = facts.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = linked.groupBy("n", "ca", "cb").agg(F.min("doc").alias("rep"))
     member = materialize(linked.select("doc", "n", "ca", "cb").join(classes, ["n", "ca", "cb"]).select("doc", "rep").distinct(), "classes")
     own = member.where("doc = rep").select("rep").distinct()
-    reps = materialize(linked.join(own, linked.doc == own.rep, "left_semi").select(F.col("doc").alias("rep"), "n", "sig", "bands"), "reps")
+    reps = materialize(linked.join(own, linked.doc == own.rep, "left_semi").select(F.col("doc").alias("rep"), "n", "bands"), "reps")
 
-    banded = reps.select("rep", F.explode("bands").alias("key"))
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot < top").drop("top")
-    inside = banded.join(shared, "key").distinct()
-    inside = materialize(inside.join(reps.select("rep", "n", "sig"), "rep"), "buckets")
-    texts = materialize(slim.join(inside.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "bucket-texts")
-    facts_of = inside.select("rep", "n", "sig").dropDuplicates(["rep"])
+    inside = materialize(banded.join(shared, "key").distinct(), "buckets")
+    near = inside.select("rep").distinct()
+    texts = materialize(slim.join(near.withColumnRenamed("rep", "doc"), "doc", "left_semi"), "bucket-texts")
+    sigs = texts.mapInArrow(tidy(lambda batches: _signatures(batches, words)), "rep long, sig array<long>")
+    marks = F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    facts_of = materialize(reps.join(near, "rep", "left_semi").select("rep", "n", marks.alias("marks")).join(sigs, "rep").dropDuplicates(["rep"]), "signatures")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a > b) by full sets."""
         with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
         full = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return full.mapInArrow(lambda batches: _confirm(batches, words, percent), "a long, b long")
+        return full.mapInArrow(tidy(lambda batches: _confirm(batches, words, percent)), "a long, b long")
 
     star = inside.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     one, two = (facts_of.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
@@ -246,11 +263,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         comps = materialize(components(links), "components")
         labelled = inside.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         split = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        open_ = labelled.join(split, "key")
+        open_ = labelled.join(split, "key").join(facts_of, "rep")
         # A large bucket is compared block by block: each member goes to the pairs of blocks that hold its own.
         g = F.ceil(F.col("size") / BLOCK).cast("int")
         open_ = open_.withColumn("mine", F.pmod(F.xxhash64("rep"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
-        open_ = open_.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", "n", "sig", "pivot", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
+        open_ = open_.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "rep", "comp", "n", "sig", "marks", "pivot", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
         pairs = open_.groupBy("key", "i", "j").applyInArrow(_crossing(percent, most), "a long, b long").distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
