@@ -30,10 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that a document with a smaller id has; documents with nothing left go."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffixes.remove_repeats(docs, keep_text=True, carry=(*rest, "text"))
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    cut = suffixes.remove_repeats(docs, keep_text=True, carry=rest)
     out = cut.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    return out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.textbytes import tidy
+
 GAMMA, THRESHOLD, LEAST = 0.9, 0.3, 8
 #: Up to so many removed nodes in all (24 bytes each) their table is broadcast; beyond it is joined by host.
 SMALL_NODES = 200_000
@@ -250,7 +252,7 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "parent", "kind", "mark", "n"])
 
-    seen = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(count, "host string, path long, parent long, kind int, mark long, n long")
+    seen = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(tidy(count), "host string, path long, parent long, kind int, mark long, n long")
     marks = seen.groupBy("host", "path", "parent", "kind", "mark").agg(F.sum("n").alias("n"))
     style, block = F.col("kind") == 0, F.col("kind") == 1
     nodes = marks.groupBy("host", "path", "parent").agg(
@@ -318,4 +320,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = joined.schema["page"].dataType.simpleString()
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.textbytes import row_slices, text_buffer
+from kinweave.llm.textbytes import row_slices, text_buffer, tidy
 
 WINDOW = 128
 HIDDEN = 8
-SLICE = 3 << 19
-PIECE = 16384  # windows at once, for texts longer than a slice
+SLICE = 1 << 20
+PIECE = 9216  # windows at once, for texts longer than a slice
 UND = "und"
 #: Bytes that can belong to letters: a-z, A-Z, and all of longer UTF-8 sequences.
 LETTER_BYTES = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
@@ -269,10 +269,13 @@ def predict_batch(net: ByteBiGru | None, texts: pa.Array) -> tuple[list[str], np
                 for k in range(total.shape[1]):
                     total[:, k] += np.bincount(at, by_window[:, k], n)
                 count += np.bincount(at, m.sum(1), n)
-    # No ASCII letter and no byte from 0x80: no letter. Otherwise only texts without ASCII letters need a look at their characters.
-    low = raw | 32
-    ascii_letter = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122) & (raw < 128))])
-    plain = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
+    # Only texts without ASCII letters need a look at their characters.
+    plain = np.zeros(n, bool)
+    for a, b in row_slices(offsets, SLICE):
+        low = raw[offsets[a] : offsets[b]] | 32
+        seen = np.concatenate([np.zeros(1, np.int32), np.cumsum((low >= 97) & (low <= 122), dtype=np.int32)])
+        at = offsets[a : b + 1] - offsets[a]
+        plain[a:b] = seen[at[1:]] > seen[at[:-1]]
     ok = np.array([bool(plain[i]) or (count[i] > 0 and has_letter(texts[i].as_py())) for i in range(n)], bool) & (count > 0)
     score = total / np.maximum(count, 1)[:, None]
     best = score.argmax(1)
@@ -306,5 +309,5 @@ def identify(docs: DataFrame, net: ByteBiGru | None, *, text_col: str = "text",
 
     slim = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
-    out = slim.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    out = slim.mapInArrow(tidy(run), f"{kept}, lang_pred string, score double")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score")

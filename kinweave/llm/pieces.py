@@ -12,8 +12,8 @@ found first, places in order and pieces from short to long.
 Spaces become the marker U+2581 and a marker is put in front. If no piece
 holds a marker behind another character (checked when the model is read), the
 best path never crosses the place in front of a marker run, so a text is
-encoded word by word and a word's path is remembered, up to ``MEMORY`` words
-in a worker. A marker character that stands in the text itself is written as
+encoded word by word and a word's path is remembered, up to twice ``MEMORY``
+words in a worker. A marker character that stands in the text itself is written as
 bytes, so that decoding gives back every text exactly.
 
 Texts are encoded whole. Defined results: null text has null ids; empty text
@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinweave.llm.textbytes import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMORY = 300_000
+MEMORY = 60_000
 _LENGTH = [1] * 192 + [2] * 32 + [3] * 16 + [4] * 16
 
 
@@ -101,6 +103,7 @@ class Pieces:
         self.by_word = all(MARK not in pieces[i].lstrip(MARK) for i in normal)
         self.raw = [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 2 else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     @classmethod
@@ -113,7 +116,7 @@ class Pieces:
         return cls([m.id_to_piece(i) for i in n], [m.get_score(i) for i in n], [kind(i) for i in n])
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "older": {}}
 
     def best_path(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[int, ...]:
         """Ids of the best segmentation; at byte places in ``literal`` a marker is a character of the text, not a space."""
@@ -173,14 +176,15 @@ class Pieces:
     def _spaced(self, text: str) -> list[int]:
         if not self.by_word:
             return list(self.best_path(text))
-        known = self.known
+        known, older = self.known, self.older
         if len(known) > MEMORY:
-            known.clear()
+            self.older, self.known = known, {}
+            known, older = self.known, self.older
         ids: list[int] = []
         for word in self.split.findall(text):
             path = known.get(word)
             if path is None:
-                path = self.best_path(word)
+                path = older.get(word) or self.best_path(word)
                 if len(word) <= 64:
                     known[word] = path
             ids += path
@@ -194,12 +198,12 @@ class Pieces:
 
 def encode_texts(docs: DataFrame, pieces: Pieces | None = None, *, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids, n_tokens, n_bytes_pieces (ids that stand for a byte) and exact (decoding gives the text back) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(pieces or Pieces.load(model)))
+    sent = docs.sparkSession.sparkContext.broadcast((pieces or Pieces.load(model)).__getstate__())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces.__new__(Pieces)
         p.__dict__.update(sent.value)
-        p.known = {}
+        p.known, p.older = {}, {}
         is_byte = np.array([k == 1 for k in p.kinds])
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -214,4 +218,4 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None, *, model: str =
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(exact, pa.bool_())], names=[id_col, "ids", "n_tokens", "n_byte_pieces", "exact"])
 
     slim = docs.select(id_col, text_col)
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long, n_byte_pieces long, exact boolean")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {slim.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long, n_byte_pieces long, exact boolean")

@@ -40,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.textbytes import BASE, byte_table, mix, span_hash, text_buffer
+from kinweave.llm.textbytes import BASE, byte_table, mix, release, span_hash, text_buffer
 
 U64 = np.uint64
 GRAM = 16
 CHUNK = 8 << 20
-PIECE = 1 << 20
+PIECE = 1 << 19
 HOT = 4096
 _POS = U64((1 << 24) - 1)
 _TABLE = byte_table()
@@ -232,7 +232,7 @@ def local_keys(key: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also kept_text (bytes that no longer form a character are dropped), and the columns named in ``carry``."""
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also kept_text (null for null; bytes that no longer form a character are dropped), and the columns named in ``carry``."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -365,6 +365,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
                     out.append((int(c[i]), 1, len(s), pack(s.astype(np.int32), m.astype(np.int32), rr.astype(np.int32))))
         return _rows(out, REPLIES)
 
+    def one(work):
+        def run(table: pa.Table) -> pa.Table:
+            try:
+                return work(table)
+            finally:
+                release()
+
+        return run
+
+    def two(work):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return work(left, right)
+            finally:
+                release()
+
+        return run
+
     final = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept_text", pa.string())] if keep_text else []))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -387,25 +405,25 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         at = offsets[:-1][np.diff(offsets) > 0]
         begin[at] = gone[at]
         spans = np.concatenate([[0], np.cumsum(begin)])
-        rows = []
+        rows, there = [], table.column("text").is_valid().to_pylist()
         for i, d in enumerate(table.column("doc").to_pylist()):
             a, b = offsets[i], offsets[i + 1]
             cutout = int(removed[b] - removed[a])
             kept = raw[a:b][~gone[a:b]].tobytes() if cutout else raw[a:b].tobytes()
             row = (d, int(b - a), cutout, int(spans[b] - spans[a]), hashlib.sha256(kept).hexdigest())
-            rows.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
+            rows.append((*row, kept.decode("utf-8", "ignore") if there[i] else None) if keep_text else row)
         out = _rows(rows, final)
         for i in range(len(carry)):
             out = out.append_column(f"carry_{i}", table.column(f"carry_{i}"))
         return out
 
-    entries = x.groupBy("chunk").applyInArrow(first_digit, E_SQL)
-    replies = entries.groupBy("bucket").applyInArrow(first_groups, R_SQL)
-    entries = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(second_digits, E_SQL)
-    replies = entries.groupBy("bucket").applyInArrow(second_groups, R_SQL)
+    entries = x.groupBy("chunk").applyInArrow(one(first_digit), E_SQL)
+    replies = entries.groupBy("bucket").applyInArrow(one(first_groups), R_SQL)
+    entries = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(two(second_digits), E_SQL)
+    replies = entries.groupBy("bucket").applyInArrow(one(second_groups), R_SQL)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     schema += "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
+    out = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(two(cut), schema)
     fixed = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
     return out.select(F.col("doc").cast(kind).alias(id_col), *fixed, *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
 

@@ -6,11 +6,33 @@ Arrow buffers, so a text is never copied into Python strings.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+def release() -> None:
+    """Gives unused memory back: workers of Python are used again by other stages, and executors have little to spare."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(work):
+    """A function over batches that gives its memory back at the end of a partition."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 U64 = np.uint64
 SEED = 20240229
 BASE = 0x9E3779B97F4A7C15

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.textbytes import tidy
+
 #: Common English insults, the lexicon voters.
 LEXICON = ("clown", "disgusting", "filth", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 STEM = 4
@@ -249,4 +251,4 @@ def score_toxicity(docs: DataFrame, train_docs: DataFrame | None = None, labels:
                 yield pa.record_batch([part.column(0), pa.array(scorer.score(part.column(1).to_pylist()))], names=[id_col, "score"])
 
     slim = docs.select(id_col, text_col)
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, score double")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {slim.schema[0].dataType.simpleString()}, score double")
