@@ -17,8 +17,8 @@ threshold; a document's component is named by its smallest id.
    others are confirmed on their full sets.
 4. A bucket of a band is not expanded into pairs. First every member meets the
    bucket's smallest id. Then, as long as a bucket holds more than one
-   component, members meet the most similar members of other components, two
-   rounds; at last all pairs between different components that are still
+   component, members meet the most similar members of other components, at most
+   two rounds; at last, always, all pairs between different components that are still
    untested are confirmed, so no link between components is lost. Buckets are
    compared in blocks of about ``BLOCK`` members by word operations, whatever
    their size, and only pairs to confirm leave a block, each from the first
@@ -258,9 +258,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate("sa", "sb") >= percent / 100 - MARGIN)
     tested = materialize(star.where(fits).select("a", "b"), "pairs")
     links = materialize(confirmed(tested), "confirmed")
-    comps = None
+    comps, stuck = materialize(components(links), "components"), False
     for most in (2, 2, 0):
-        comps = materialize(components(links), "components")
+        # A capped round that finds only tested pairs would find them again; what its cap hid is left to the last round.
+        if most and stuck:
+            continue
         labelled = inside.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         split = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         open_ = labelled.join(split, "key").join(facts_of, "rep")
@@ -270,13 +272,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         open_ = open_.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "rep", "comp", "n", "sig", "marks", "pivot", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
         pairs = open_.groupBy("key", "i", "j").applyInArrow(_crossing(percent, most), "a long, b long").distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
+        stuck = pairs.isEmpty()
+        if stuck:
+            continue
         more = materialize(confirmed(pairs), "confirmed")
         tested = tested.unionByName(pairs)
         links = links.unionByName(more)
-        if not most:
-            comps = materialize(components(links), "components")
+        comps = materialize(components(links), "components")
     # A document with several rows under one id may stand in several classes: they are one.
     names = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("comp", "rep").alias("comp")).groupBy("doc").agg(F.min("comp").alias("comp"))
     out = facts.select("doc", "n").join(names, "doc", "left")

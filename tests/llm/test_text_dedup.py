@@ -108,3 +108,17 @@ def test_components_of_chains(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 50), (100, 60)]
     got = {r.node: r.comp for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 31)) and got[60] == got[100] == 50
+
+
+def test_refused_likeliest_pairs_do_not_hide_a_link(spark):
+    # Each cluster: 40 documents at J = 0.796 of each other, which the full sets refuse, and one pair at 0.801 whose ends have two likelier mates by the estimate.
+    rows, pairs = [], []
+    for c in (3, 6, 8, 9):
+        core, extra = [f"c{c}w{i}" for i in range(780)], [f"c{c}e{i}" for i in range(3)]
+        for m in range(42):
+            shared = extra if m >= 40 else []
+            rows.append((c * 100 + m, " ".join(core + shared + [f"c{c}m{m}u{i}" for i in range(100 - len(shared))])))
+        pairs.append((c * 100 + 40, c * 100 + 41))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=1).collect()}
+    assert got == {d: d for d, _ in rows} | {b: a for a, b in pairs}
