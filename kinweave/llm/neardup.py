@@ -9,8 +9,8 @@ threshold; a document's component is named by its smallest id.
    code and 38 band keys of 5 whole minima each. A pair at the threshold of 0.8
    shares no band with a chance of 3e-7.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Candidates come from bands. Those that share one get 1024 minima cut down
-   to their 2 low bits and packed by bit planes; similarity is estimated from
+3. Candidates come from bands. Those that share one get 1024 minima, mixed,
+   cut down to 2 low bits and packed by bit planes; similarity is estimated from
    the counts of equal 2-bit values, corrected for chance collisions (a quarter
    agree by chance). Pairs below the threshold by more than ``MARGIN`` (4.4
    standard errors) or with sizes that rule the threshold out are dropped. All
@@ -99,7 +99,16 @@ def minima(code: np.ndarray, at: np.ndarray, hashes: int = HASHES) -> np.ndarray
 
 
 def planes(m: np.ndarray) -> np.ndarray:
-    """(sets, 2 * WORDS64) words: the lowest bits of the minima, then the second lowest."""
+    """(sets, 2 * WORDS64) words: the lowest bits of the mixed minima, then the second lowest.
+
+    The low bits of A * x + B depend on those of x alone, so in small sets chance
+    collisions would not be independent; mixing (murmur's finaliser) makes them so.
+    """
+    m = m ^ (m >> U32(16))
+    m *= U32(0x85EBCA6B)
+    m ^= m >> U32(13)
+    m *= U32(0xC2B2AE35)
+    m ^= m >> U32(16)
     out = [np.packbits((m >> U32(k)) & U32(1), axis=1, bitorder="little").view(np.int64) for k in (0, 1)]
     return np.concatenate(out, axis=1)
 

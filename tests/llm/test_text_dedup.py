@@ -122,3 +122,11 @@ def test_refused_likeliest_pairs_do_not_hide_a_link(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=1).collect()}
     assert got == {d: d for d, _ in rows} | {b: a for a, b in pairs}
+
+
+def test_short_texts_at_the_threshold_are_linked(spark):
+    # Sets of 5 and 4 words that share 4: J is 0.8 exactly.
+    rows = [(2 * p + s, " ".join(f"p{p}w{i}" for i in range(5 - s))) for p in range(300) for s in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=1).collect()}
+    assert [d for d in got if got[d] != d // 2 * 2] == []
