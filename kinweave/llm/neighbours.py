@@ -6,7 +6,7 @@ vector of many copies costs no more than one.
 Building. A first graph comes from ``SORTS`` orders of the nodes by signs of
 random projections: neighbours in such an order share many signs, and each
 block of ``BLOCK`` nodes gives its nodes their best ``K`` of the block. Then
-``ROUNDS`` rounds of NN-descent: each node is joined to the nodes that list it
+rounds of NN-descent follow until under ``DELTA`` of the edges are new: each node is joined to the nodes that list it
 or that it lists, so that all neighbours of a centre meet there and every pair
 with a new edge is scored; a pair becomes an edge if it beats the worst edge
 of one of its ends, and the lists are joined with what was found. At a centre
@@ -19,9 +19,9 @@ their lists, the lists' nodes are scored where they lie, and the scores go back
 to the query. Pools and lists are bounded by parameters and don't grow with
 the data.
 
-Scores while building and searching use vectors cut to 8 bits; the best
-``FINAL`` of a pool are scored again by double-precision cosines of the
-original vectors.
+Scores while building and searching use unit vectors in single precision (8
+bits cannot order near copies); the whole pool is scored again by
+double-precision cosines of the original vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and rows with null ids, take no part; nor do vectors of another
@@ -42,30 +42,25 @@ from pyspark.sql import functions as F
 from kinweave.llm.storage import materialize
 from kinweave.llm.topk import matrix, usable, usual_length
 
-K, SORTS, BLOCK, ROUNDS = 32, 4, 512, 5
-WIDTH, STEPS, POOL, FINAL = 64, 5, 400, 16
+K, SORTS, BLOCK, DELTA = 32, 4, 512, 0.001
+WIDTH, STEPS, POOL = 64, 5, 400
 
 
-def unit8(x: np.ndarray) -> np.ndarray:
-    """Unit vectors with components in 1/127 of the largest, as bytes."""
-    x = x / np.sqrt((x * x).sum(1))[:, None]
-    return np.clip(np.rint(x * (127 / np.maximum(np.abs(x).max(1), 1e-30))[:, None]), -127, 127).astype(np.int8)
-
-
-def direction(q: np.ndarray) -> np.ndarray:
-    x = q.astype(np.float32)
-    return x / np.sqrt((x * x).sum(-1, keepdims=True))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    x = x / np.abs(x).max(1)[:, None]
+    return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
 
 
 def _bytes(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a binary column of equal lengths as int8."""
+    """Rows of a binary column of equal lengths as single-precision vectors."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
 def _binary(q: np.ndarray) -> pa.Array:
     n, dim = q.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * dim).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(q))])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * dim * q.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(q))])
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -78,7 +73,7 @@ def _prepare(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordB
         x = matrix(batch.column(1), dim)
         bits = [((x @ p > 0) @ (1 << np.arange(61, -1, -1, dtype=np.int64))).astype(np.int64) for p in planes]
         codes = np.stack(bits, 1)
-        yield pa.record_batch([batch.column(0), _binary(unit8(x)), _lists(codes.ravel(), np.full(len(x), SORTS), pa.int64())], names=["node", "q", "codes"])
+        yield pa.record_batch([batch.column(0), _binary(unit(x)), _lists(codes.ravel(), np.full(len(x), SORTS), pa.int64())], names=["node", "q", "codes"])
 
 
 def top_lists(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -102,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         for a in range(0, n, BLOCK):
             lo = max(0, min(a, n - BLOCK))
             part = batch.slice(lo, BLOCK)
-            node, x = part.column(0).to_numpy(), direction(_bytes(part.column(1), dim))
+            node, x = part.column(0).to_numpy(), _bytes(part.column(1), dim)
             s = x @ x.T
             np.fill_diagonal(s, -9)
             k = min(K, len(node) - 1)
@@ -149,7 +144,7 @@ def _meet(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatc
             ids = np.full((len(n), width), -1, np.int64)
             ids[row, slot] = m.to_numpy()
             x = np.zeros((len(n), width, dim), np.float32)
-            x[row, slot] = direction(_bytes(q, dim))
+            x[row, slot] = _bytes(q, dim)
             low = np.full((len(n), width), np.inf, np.float32)
             low[row, slot] = bound.to_numpy()
             fresh = np.zeros((len(n), width), bool)
@@ -174,20 +169,23 @@ def build(nodes: DataFrame, dim: int) -> DataFrame:
     none = lists.select("node", F.array().cast("array<long>").alias("nb"), F.array().cast("array<float>").alias("s"), "nb1", "s1")
     # A node that shares no block with another has no list yet; it stays in, with none.
     graph = materialize(nodes.select("node").join(none, "node", "left").mapInArrow(_merge, merged), "graph")
-    for _ in range(ROUNDS):
+    while True:
         data = graph.join(nodes.select("node", "q"), "node").select("node", "q", F.when(F.size("nb") < K, F.lit(-9.0)).otherwise(F.array_min("s")).cast("float").alias("bound"), "nb", "s", "new")
-        edges = data.select("node", "q", "bound", F.explode(F.arrays_zip("nb", "s", "new")).alias("e")).select("node", "q", "bound", "e.nb", "e.s", "e.new")
-        # Those that list the centre, the K closest; those that the centre lists.
+        edges = data.select("node", F.explode(F.arrays_zip("nb", "s", "new")).alias("e")).select("node", "e.nb", "e.s", "e.new")
+        # Those that list the centre, the K closest; those that the centre lists. Vectors join once for each.
         near = Window.partitionBy("nb").orderBy(F.desc("s"), "node")
-        listing = edges.withColumn("r", F.row_number().over(near)).where(F.col("r") <= K).select(F.col("nb").alias("c"), F.col("node").alias("m"), "q", "bound", "new")
-        asked = edges.select(F.col("nb").alias("node"), F.col("node").alias("c"), "new")
-        listed = asked.join(data.select("node", "q", "bound"), "node").select("c", F.col("node").alias("m"), "q", "bound", "new")
-        centres = listing.unionByName(listed).groupBy("c").agg(F.collect_list(F.struct("m", "q", "bound", "new")).alias("b"))
+        listing = edges.withColumn("r", F.row_number().over(near)).where(F.col("r") <= K).select(F.col("nb").alias("c"), F.col("node").alias("m"), "new")
+        meeting = listing.unionByName(edges.select(F.col("node").alias("c"), F.col("nb").alias("m"), "new")).groupBy("c", "m").agg(F.max("new").alias("new"))
+        meeting = meeting.join(data.select(F.col("node").alias("m"), "q", "bound"), "m")
+        centres = meeting.groupBy("c").agg(F.collect_list(F.struct("m", "q", "bound", "new")).alias("b"))
         found = centres.mapInArrow(lambda b: _meet(b, dim), "a long, b long, s float")
         best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
         found = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= K)
         found = found.groupBy("a").agg(F.collect_list(F.struct("b", "s")).alias("f")).select(F.col("a").alias("node"), F.col("f.b").alias("nb1"), F.col("f.s").alias("s1"))
         graph = materialize(graph.select("node", "nb", "s").join(found, "node", "left").mapInArrow(_merge, merged), "graph")
+        fresh, edges = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("nb"))).first()
+        if not edges or fresh < DELTA * edges:
+            break
     return graph.select("node", "nb", "s")
 
 
@@ -196,10 +194,10 @@ def _score(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for a in range(0, batch.num_rows, 2048):
             part = batch.slice(a, 2048)
-            x = direction(_bytes(part.column(1), dim))
+            x = _bytes(part.column(1), dim)
             n = part.column(2).value_lengths().to_numpy()
             ids = part.column(2).flatten().to_numpy()
-            y = direction(np.frombuffer(b"".join(part.column(3).to_pylist()), np.int8).reshape(-1, dim))
+            y = _bytes(part.column(3), dim)
             s = np.einsum("nd,nd->n", np.repeat(x, n, axis=0), y)
             yield pa.record_batch([part.column(0), _lists(ids, n, pa.int64()), _lists(s, n, pa.float32())], names=["query", "ids", "s"])
 
@@ -249,10 +247,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
         both = scored.withColumn("opened", F.array().cast("array<long>")).unionByName(state.select("query", "ids", "s", "opened"))
         grouped = both.groupBy("query").agg(F.collect_list("ids").alias("ids"), F.collect_list("s").alias("s"), F.collect_list("opened").alias("opened"))
         state = materialize(grouped.mapInArrow(_pool, pooled), "pools")
-    near = state.select("query", F.explode(F.array_distinct(F.concat(F.array("query"), F.slice("ids", 1, FINAL)))).alias("node"))
+    near = state.select("query", F.explode(F.array_distinct(F.concat(F.array("query"), "ids"))).alias("node"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-    pair = near.join(nodes.select("node", "v", "members"), "node").join(nodes.select(F.col("node").alias("query"), F.col("v").alias("w")), "query")
-    cosine = dot("v", "w") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))
+    normed = nodes.select("node", "v", "members", F.sqrt(dot("v", "v")).alias("norm"))
+    pair = near.join(normed, "node").join(normed.select(F.col("node").alias("query"), F.col("v").alias("w"), F.col("norm").alias("wnorm")), "query")
+    cosine = dot("v", "w") / (F.col("norm") * F.col("wnorm"))
     pair = pair.select("query", "members", cosine.alias("score"))
     full = asked.withColumnRenamed("node", "query").join(pair, "query").select("query_id", F.explode("members").alias("id"), "score").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -66,3 +66,17 @@ def test_nearest_recall_and_copies(table):
     for q in queries:
         for v, s in got[q]:
             assert abs(s - unit[q] @ unit[v]) < 1e-12
+
+
+def test_near_copies_keep_their_order(spark):
+    # Different vectors at a cosine of about 0.9999: their order is finer than 8 bits.
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=16) + 0.01 * rng.normal(size=(1500, 16))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    queries = list(range(0, 1500, 50))
+    want = _expected(unit, np.arange(1500), lambda a, q: a @ q, queries)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 5 for q in queries]) >= 0.9
