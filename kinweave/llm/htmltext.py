@@ -17,7 +17,8 @@ Adverts and menus of real sites often differ from page to page, which entropy
 can't tell from an article; so branches whose tag, role or class says that
 they are menus, headers, footers, sidebars, notices, adverts, forms or reader
 comments have importance 0, and an ``article`` or ``main`` element and its
-plain descendants are not removed.
+plain descendants are not removed. Equal pages of a host count once in its
+tree, and a page that the tree would leave without text keeps its branches.
 
 Both passes read whole pages, one page at a time. Defined results: null or
 empty html, or a page without main text, gives the empty text with 0
@@ -225,7 +226,7 @@ class Parser:
     def text(self, page: str | None, removed: frozenset[int] = frozenset()) -> str:
         if not page:
             return ""
-        found = self.blocks(page, removed)
+        found = self.blocks(page, removed) or (self.blocks(page) if removed else [])
         kinds = {k for k, _ in found}
         best = next((k for k in ("article", "main") if k in kinds), "")
         return "\n".join(t for k, t in found if k == best)
@@ -252,7 +253,8 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "parent", "kind", "mark", "n"])
 
-    seen = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(tidy(count), "host string, path long, parent long, kind int, mark long, n long")
+    # Copies of a page would make its paragraphs look like boilerplate.
+    seen = pages.select(host_of(F.col(url_col)).alias("host"), html_col).distinct().mapInArrow(tidy(count), "host string, path long, parent long, kind int, mark long, n long")
     marks = seen.groupBy("host", "path", "parent", "kind", "mark").agg(F.sum("n").alias("n"))
     style, block = F.col("kind") == 0, F.col("kind") == 1
     nodes = marks.groupBy("host", "path", "parent").agg(

@@ -34,3 +34,11 @@ def test_style_tree_removes_what_repeats(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert htmltext.extract(pages).count() == len(rows)
     assert htmltext.extract(pages.where("false")).count() == 0
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div><h1>Head</h1>" + "".join(f"<p>Paragraph {i}</p>" for i in range(10)) + "</div></body>"
+    rows = [(i, "http://c.example/x", page) for i in range(200)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Head\n" + "\n".join(f"Paragraph {i}" for i in range(10))
+    assert htmltext.Parser().text("<div class=x><p>only</p></div>", frozenset([htmltext.Parser()._id(1, "div.x")])) == "only"
