@@ -19,6 +19,10 @@ they are menus, headers, footers, sidebars, notices, adverts, forms or reader
 comments have importance 0, and an ``article`` or ``main`` element and its
 plain descendants are not removed. Equal pages of a host count once in its
 tree, and a page that the tree would leave without text keeps its branches.
+Classes and ids never put ``html`` or ``body`` aside, nor do names that speak
+of the layout (``has-sidebar``); an ``article`` or ``main`` element inside an
+element that its class or id puts aside is read if the page has no other and
+it holds more text than what stands outside.
 
 Both passes read whole pages, one page at a time. Defined results: null or
 empty html, or a page without main text, gives the empty text with 0
@@ -69,15 +73,17 @@ ASIDE_WORDS = frozenset(
 HEADER_WORDS = frozenset(("header", "topbar"))
 MAIN_WORDS = frozenset("article entry post content story main".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: First words of names that say what a page has or how it is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("has have no not without with layout is hide show".split())
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("aside", "children", "main", "parent", "path", "plain", "tag", "text")
+    __slots__ = ("aside", "children", "firm", "main", "parent", "path", "plain", "tag", "text")
 
-    def __init__(self, tag: str, path: int, parent: int, aside: bool, main: str, plain: bool):
-        self.tag, self.path, self.parent, self.aside, self.main, self.plain = tag, path, parent, aside, main, plain
+    def __init__(self, tag: str, path: int, parent: int, aside: bool, main: str, plain: bool, firm: bool = False):
+        self.tag, self.path, self.parent, self.aside, self.main, self.plain, self.firm = tag, path, parent, aside, main, plain, firm
         self.children: list[str] = []
         self.text = False
 
@@ -86,16 +92,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def _looks_aside(tag: str, at: dict[str, str], in_main: bool) -> bool:
+def _is_aside(tag: str, at: dict[str, str], in_main: bool) -> bool:
+    """Whether tag, role or style put an element aside, or hide it."""
     if tag in ASIDE_TAGS or tag == "header" and not in_main:
         return True
     if not at:
         return False
     if at.get("role", "").lower() in ASIDE_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true":
         return True
-    if "none" in at.get("style", "") and re.search(r"display\s*:\s*none", at["style"]):
-        return True
-    words = {w.lower() for name in ("class", "id") for w in re.split(r"[\W_]+", CAMEL.sub(" ", at.get(name, "")))}
+    return "none" in at.get("style", "") and bool(re.search(r"display\s*:\s*none", at["style"]))
+
+
+def _named_aside(tag: str, at: dict[str, str], in_main: bool) -> bool:
+    """Whether class or id say that an element is a menu, an advert or the like."""
+    if not at or tag in ("html", "body"):
+        return False
+    words: set[str] = set()
+    for name in f"{at.get('class', '')} {at.get('id', '')}".split():
+        parts = [w.lower() for w in re.split(r"[\W_]+", CAMEL.sub(" ", name))]
+        if parts[0] not in LAYOUT_WORDS:
+            words.update(parts)
     if words & MAIN_WORDS and not words & {"comment", "comments", "related", "sidebar", "ad", "ads"}:
         return False
     return bool(words & ASIDE_WORDS or not in_main and words & HEADER_WORDS)
@@ -116,7 +132,7 @@ class Parser:
         return found
 
     def blocks(self, page: str, removed: frozenset[int] = frozenset(), stats: Counter | None = None) -> list[tuple[str, str]]:
-        """(kind of main element around it or '', block) of every kept block, in page order.
+        """(kind of main element around it, after ~ if a name puts it aside, or '', block) of every kept block, in page order.
 
         With ``stats``, also counts (path, parent, 0, child sequence) of each
         element and (path, parent, 1, block) of each block not said to be aside.
@@ -211,10 +227,15 @@ class Parser:
             if tag in VOID:
                 continue
             path = self._id(up.path, key)
-            main = tag if tag in MAIN_TAGS and up.main != "article" else up.main
+            main = tag if tag in MAIN_TAGS and up.main not in ("article", "~article") else up.main
             plain = tag in MAIN_TAGS or up.plain and key == tag
-            aside = up.aside or _looks_aside(tag, at, bool(up.main)) or path in removed and not plain
-            stack.append(Node(tag, path, up.path, aside, main, plain))
+            firm = up.firm or _is_aside(tag, at, bool(up.main)) or path in removed and not plain
+            aside = firm or _named_aside(tag, at, bool(up.main))
+            if up.aside and not aside and tag in MAIN_TAGS and not up.main:
+                main = "~" + tag
+            else:
+                aside = aside or up.aside
+            stack.append(Node(tag, path, up.path, aside, main, plain, firm))
             if (m[4] or m[7] or "").rstrip().endswith("/") and tag not in BLOCK:
                 pop()
         add_text(end, len(page))
@@ -227,8 +248,10 @@ class Parser:
         if not page:
             return ""
         found = self.blocks(page, removed) or (self.blocks(page) if removed else [])
-        kinds = {k for k, _ in found}
-        best = next((k for k in ("article", "main") if k in kinds), "")
+        size: Counter = Counter()
+        for k, t in found:
+            size[k] += len(t)
+        best = next((k for k in ("article", "main") if k in size), None) or max(("~article", "~main", ""), key=size.__getitem__)
         return "\n".join(t for k, t in found if k == best)
 
 

@@ -42,3 +42,13 @@ def test_copies_of_a_page_keep_their_text(spark):
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[7] == "Head\n" + "\n".join(f"Paragraph {i}" for i in range(10))
     assert htmltext.Parser().text("<div class=x><p>only</p></div>", frozenset([htmltext.Parser()._id(1, "div.x")])) == "only"
+
+
+def test_layout_names_do_not_empty_a_page():
+    text = htmltext.Parser().text
+    for body in ('<body class="has-sidebar">', '<body class="no-sidebar">', '<body class="with-banner">', '<body><div id="page" class="layout-sidebar-right">', '<body><div class="page-sidebar-wrap">'):
+        assert text(body + "<article><p>Story</p></article>") == "Story", body
+    assert text('<body class="has-sidebar"><p>Story</p><div class="sidebar"><p>side</p></div>') == "Story"
+    cards = '<div class="sidebar"><article><p>card</p></article></div>'
+    assert text("<article><p>Story</p></article>" + cards) == text("<p>Story</p>" + cards) == "Story"
+    assert text("<article><p>Story</p><div class=comments><article><p>reader</p></article></div></article><nav><article>n</article></nav>") == "Story"
