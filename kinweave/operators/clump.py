@@ -42,23 +42,23 @@ def ld_pairs(hits: DataFrame, variants: DataFrame, window: int = 50_000) -> Data
     return pairs.join(correlation(pairs, variants), ["a", "b"])
 
 
-def ld_groups(hits: DataFrame, variants: DataFrame, *, window: int = 50_000, r2: float = 0.5, rounds: int = 50) -> DataFrame:
+def ld_groups(hits: DataFrame, variants: DataFrame, *, window: int = 50_000, r2: float = 0.5) -> DataFrame:
     """hits (pheno_idx, variant_idx, chrom, pos, p) with ld_group: connected hits, numbered by their smallest p.
 
-    Components by repeated joins to the smallest neighbouring label; a link
-    stays within a chromosome window, so few rounds settle it.
+    Components by repeated joins to the smallest neighbouring label and to that
+    label's own, until no link joins two labels; lineage ends at each round.
     """
     hits = hits.persist()
     links = ld_pairs(hits, variants, window).where(F.col("r2") >= r2).select("pheno_idx", "a", "b")
     links = links.unionByName(links.select("pheno_idx", F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    label = hits.select("pheno_idx", F.col("variant_idx").alias("a"), F.col("variant_idx").alias("g")).persist()
-    for _ in range(rounds):
+    label = hits.select("pheno_idx", F.col("variant_idx").alias("a"), F.col("variant_idx").alias("g")).distinct().localCheckpoint()
+    while True:
         other = links.join(label.select("pheno_idx", F.col("a").alias("b"), F.col("g").alias("h")), ["pheno_idx", "b"]).groupBy("pheno_idx", "a").agg(F.min("h").alias("h"))
-        new = label.join(other, ["pheno_idx", "a"], "left").select("pheno_idx", "a", F.least("g", F.coalesce("h", "g")).alias("g"), (F.coalesce("h", "g") < F.col("g")).alias("moved")).persist()
-        moved = new.where("moved").limit(1).count()
-        label = new.drop("moved")
-        if not moved:
+        new = label.join(other, ["pheno_idx", "a"], "left").select("pheno_idx", "a", F.least("g", "h").alias("g"), (F.col("h") < F.col("g")).alias("moved")).localCheckpoint()
+        if new.where("moved").isEmpty():
             break
+        ahead = new.select("pheno_idx", F.col("a").alias("g"), F.col("g").alias("h"))
+        label = new.join(ahead, ["pheno_idx", "g"], "left").select("pheno_idx", "a", F.least("g", "h").alias("g")).localCheckpoint()
     rows = hits.join(label.withColumnRenamed("a", "variant_idx"), ["pheno_idx", "variant_idx"])
     group = Window.partitionBy("pheno_idx", "g")
     first = F.min(F.struct("p", "variant_idx")).over(group)

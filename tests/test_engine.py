@@ -89,6 +89,14 @@ def test_linkage_groups(spark):
     assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 4}
 
 
+def test_linkage_groups_of_long_chains(spark):
+    # 70 hits, each linked with the next only; the smallest index stands at one end.
+    x = np.random.default_rng(1).integers(0, 3, 60).astype(float).tolist()
+    v = spark.createDataFrame([(i, 1, 100 * i, x) for i in range(70)], "variant_idx int, chrom int, pos int, dosage array<double>")
+    hits = v.select(F.lit(0).alias("pheno_idx"), "variant_idx", "chrom", "pos", F.lit(0.01).alias("p"))
+    assert {r.ld_group for r in clump.ld_groups(hits, v, window=100, r2=0.5).collect()} == {1}
+
+
 @pytest.mark.parametrize("whole", [1 << 20, 1])
 def test_plink_round_trip(spark, tmp_path, monkeypatch, whole):
     monkeypatch.setattr(files, "WHOLE_BED", whole)
