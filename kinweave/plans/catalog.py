@@ -477,9 +477,9 @@ def epi_tier2(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def epi_all_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """L35 over all unordered pairs of the first thirty variants."""
+    """L35 over all unordered pairs of all variants, for every phenotype."""
     v, s, p = _inputs(spark, d)
-    return association.gwas_epi(v.where("variant_idx < 30"), s, p.where("pheno_idx = 0"), p_threshold=0.05, window=3000)["pairs"]
+    return association.gwas_epi(v, s, p, p_threshold=0.05, window=3000)["pairs"]
 
 
 for _name, _sql in list(SQL.items()):

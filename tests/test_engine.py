@@ -172,3 +172,12 @@ def test_flagship_and_alignment(spark):
     e = panels.read(spark, SF, "events")
     with pytest.raises(ValueError):
         genotype.align(spark.createDataFrame([(-1,)], "iid long"), order=panels.samples(e))
+
+
+def test_all_anchors_reach_all_variants_and_phenotypes(spark):
+    from kinweave.plans import catalog
+
+    rows = catalog.epi_all_anchors(spark, "/root/testdata/sf0.001").select("pheno_idx", "i", "j").collect()
+    print(len(rows), len({(r.i, r.j) for r in rows}))
+    assert min(r.i for r in rows) < 30 < 90 < max(r.j for r in rows) and max(r.i for r in rows) >= 30
+    assert len({r.pheno_idx for r in rows}) > 1 and len({(r.pheno_idx, r.i, r.j) for r in rows}) == len(rows)
