@@ -103,6 +103,26 @@ def test_round_trip_and_edges(spark, model):
     assert next(r for r in got if r.doc_id == 99).ids is None
     assert {r.doc_id: r.ids for r in got}[3] == model.encode(texts[3])
     assert pieces.encode_texts(docs.where("false"), model).count() == 0
+    back = {r.doc_id: r.text for r in pieces.decode_ids(pieces.encode_texts(docs.where("doc_id > 0"), model), model).collect()}
+    assert back == {i: t for i, t in enumerate(texts) if i} | {99: None}
+
+
+def test_words_together_are_the_words_alone(model, texts, monkeypatch):
+    # Slices of a few bytes cut long texts in front of words; a memory of three words is emptied all the time.
+    import pyarrow as pa
+
+    rows = [*[t for _, t, _ in texts[:30]], None, "", " ", "  a▁ b ▁▁", "漢字漢字 é\u0301 𠀀𠀀", "y" * 300 + " z", "word  \n word " * 400, "\U0001f600" * 60]
+    want = [None if t is None else model.best_path(b" " + t.encode()) if t else [] for t in rows]
+    for size, memory, long in ((1 << 20, 1 << 20, 48), (64, 3, 4)):
+        monkeypatch.setattr(pieces, "SLICE", size)
+        monkeypatch.setattr(pieces, "MEMORY", memory)
+        monkeypatch.setattr(pieces, "LONG", long)
+        words = pieces.Words(model)
+        got = [pieces.encode_batch(model, words, pa.array([t], pa.string())) for t in rows] + [pieces.encode_batch(model, words, pa.array(rows))]
+        assert [g[0][0].as_py() for g in got[:-1]] == want == got[-1][0].to_pylist()
+        assert got[-1][1].to_pylist() == [None if x is None else len(x) for x in want]
+        assert got[-1][2].to_pylist() == [None if x is None else sum(model.kinds[i] == 1 for i in x) for x in want]
+        assert got[-1][3].to_pylist() == [None if t is None else True for t in rows]
 
 
 def test_same_paths_as_the_library(model, texts):
