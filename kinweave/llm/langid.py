@@ -35,7 +35,8 @@ from kinweave.llm.textbytes import row_slices, text_buffer, tidy
 WINDOW = 128
 HIDDEN = 8
 SLICE = 1 << 20
-PIECE = 9216  # windows at once, for texts longer than a slice
+PIECE = 9216  # windows at once
+PART = PIECE * WINDOW
 UND = "und"
 #: Bytes that can belong to letters: a-z, A-Z, and all of longer UTF-8 sequences.
 LETTER_BYTES = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
@@ -259,16 +260,20 @@ def predict_batch(net: ByteBiGru | None, texts: pa.Array) -> tuple[list[str], np
     count = np.zeros(n)
     if net:
         for a, b in row_slices(offsets, SLICE):
-            x, doc, mask = cut(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for i in range(0, len(x), PIECE):  # a single long text is windows too
-                m = mask[i : i + PIECE]
-                if not m.any():
-                    continue
-                by_window = net.pooled(x[i : i + PIECE])
-                at = doc[i : i + PIECE] + a
-                for k in range(total.shape[1]):
-                    total[:, k] += np.bincount(at, by_window[:, k], n)
-                count += np.bincount(at, m.sum(1), n)
+            whole, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            # A text longer than a slice stands alone and is read in parts of whole windows.
+            parts = [(whole, at)] if b - a > 1 else [(whole[i : i + PART], np.array([0, len(whole[i : i + PART])])) for i in range(0, len(whole), PART)]
+            for part, ends in parts:
+                x, doc, mask = cut(part, ends)
+                for i in range(0, len(x), PIECE):
+                    m = mask[i : i + PIECE]
+                    if not m.any():
+                        continue
+                    by_window = net.pooled(x[i : i + PIECE])
+                    of = doc[i : i + PIECE] + a
+                    for k in range(total.shape[1]):
+                        total[:, k] += np.bincount(of, by_window[:, k], n)
+                    count += np.bincount(of, m.sum(1), n)
     # Only texts without ASCII letters need a look at their characters.
     plain = np.zeros(n, bool)
     for a, b in row_slices(offsets, SLICE):
@@ -284,22 +289,25 @@ def predict_batch(net: ByteBiGru | None, texts: pa.Array) -> tuple[list[str], np
 
 
 def bounded_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int) -> list[tuple[str, str]]:
-    """At most ``docs_per_language`` labelled rows of each language, in the order of a hash of the id."""
-    lang = F.col(lang_col)
-    ids = rows.where(lang.isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), lang.alias("l"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).select("i").distinct()
-    # docs_per_language * languages ids: far below any broadcast limit, by the parameter.
-    got = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), lang.alias("l")).where(F.col("l").isNotNull()).join(F.broadcast(chosen), "i")
-    return sorted({(r.t, r.l) for r in got.collect() if r.t is not None})
+    """At most ``docs_per_language`` labelled rows of each language, in the order of a hash of the row.
+
+    Rows, not ids, are chosen, by hashes of 16 bytes; what comes to the driver is bounded by the parameter even if ids repeat.
+    """
+    lang, text = F.col(lang_col), F.col(text_col)
+    own = rows.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(text).alias("g"), text.alias("t"))
+    order = Window.partitionBy("l").orderBy("h", "g")
+    # Equal rows are one; the limit on the row number cuts each task's rows before they are dealt by language.
+    chosen = own.select("l", "h", "g").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).select("l", "h", "g")
+    got = own.join(F.broadcast(chosen), ["l", "h", "g"]).select("l", "t").distinct()
+    return sorted((r.t, r.l) for r in got.collect())
 
 
 def fit(train_rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200) -> ByteBiGru | None:
     return train(bounded_sample(train_rows, id_col, text_col, lang_col, docs_per_language))
 
 
-def identify(docs: DataFrame, net: ByteBiGru | None, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in ``carry``, then ``lang_pred`` and ``score``, of every row of ``docs``."""
+def identify(docs: DataFrame, net: ByteBiGru | None, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in ``carry``, then the language and its score, named by ``results``, of every row of ``docs``."""
     names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +315,7 @@ def identify(docs: DataFrame, net: ByteBiGru | None, *, text_col: str = "text",
             found, score = predict_batch(net, batch.column(0))
             yield pa.record_batch([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    slim = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    slim = docs.select(F.col(text_col).alias("t"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
     out = slim.mapInArrow(tidy(run), f"{kept}, lang_pred string, score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score")
+    return out.select(*[F.col(n).alias(c) for n, c in zip((*names, "lang_pred", "score"), (*carry, *results), strict=True)])

@@ -231,8 +231,8 @@ def local_keys(key: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     return k[head], np.add.reduceat(new.astype(np.int64), at) if len(at) else at, ids[r[tail]] != ids[r[at]] if len(at) else at.astype(bool)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also kept_text (null for null; bytes that no longer form a character are dropped), and the columns named in ``carry``."""
+def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also kept_text (null for null; bytes that no longer form a character are dropped), and the columns named in ``carry``; ``prefix`` is put in front of the names of results."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     buckets = chunks
     doc = F.col(id_col).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()
-    x = docs.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).alias("chunk"), doc.alias("doc"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    x = docs.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).alias("chunk"), doc.alias("doc"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
     x = x.repartition(chunks, "chunk")
 
     def first_digit(table: pa.Table) -> pa.Table:
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     schema += "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     out = x.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(two(cut), schema)
     fixed = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
-    return out.select(F.col("doc").cast(kind).alias(id_col), *fixed, *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select(F.col("doc").cast(kind).alias(id_col), *[F.col(c).alias(prefix + c) for c in fixed], *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def _marks(place: np.ndarray, marked: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

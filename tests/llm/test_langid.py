@@ -56,3 +56,43 @@ def test_held_out_accuracy_and_edges(spark, texts):
     assert langid.fit(empty) is None
     assert langid.identify(empty, None).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
+
+
+def test_windows_and_pooling_against_brute_force(texts, monkeypatch):
+    import pyarrow as pa
+
+    rows = [*[t for _, t, _ in texts[:6]], None, "", "12 34", "é" * 300, "ab " * 2000]
+    net = langid.train([(t, lang) for _, t, lang in texts[:60]])
+
+    def brute(text):
+        raw = (text or "").encode()
+        total, count = np.zeros(len(net.labels)), 0
+        for i in range(0, len(raw), langid.WINDOW):
+            w = raw[i : i + langid.WINDOW]
+            x = np.zeros((1, langid.WINDOW), np.uint8)
+            x[0, : len(w)] = list(w)
+            letters = np.array([[b >= 128 or chr(b).isalpha() for b in w] + [False] * (langid.WINDOW - len(w))])
+            if letters.any():  # a window without letters is not read
+                total += net.pooled(x)[0]
+                count += letters.sum()
+        return total / max(count, 1)
+
+    for size, piece in ((1 << 20, 9216), (300, 2)):
+        monkeypatch.setattr(langid, "SLICE", size)
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "PART", piece * langid.WINDOW)
+        names, score = langid.predict_batch(net, pa.array(rows, pa.string()))
+        for text, name, got in zip(rows, names, score, strict=True):
+            if not langid.has_letter(text):
+                assert (name, got) == ("und", 0.0)
+                continue
+            want = brute(text)
+            assert name == net.labels[int(want.argmax())] and abs(got - want.max()) < 0.02, text
+
+
+def test_sample_is_of_rows(spark):
+    rows = [(1, f"text number {i}", "en") for i in range(50)] + [(2, "same", "fr")] * 30 + [(None, "ohne", "de"), (3, None, "de"), (4, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.bounded_sample(df, "doc_id", "text", "lang", 10)
+    assert sorted(x for _, x in got) == ["de"] + ["en"] * 10 + ["fr"]
+    assert got == langid.bounded_sample(df.repartition(7), "doc_id", "text", "lang", 10)

@@ -27,3 +27,21 @@ def test_stages_keep_clean_documents(spark, tmp_path, texts):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark, texts):
+    rows = [(i % 40, t, lang, f"s{i % 3}", len(t), "x", 0.5, i, "k", i, i, "h", "c", {"a": 1}) for i, t, lang in texts]
+    rows += [(None, texts[3][1] + " other words", "en", "s0", 1, "x", 0.5, 1, "k", 1, 1, "h", "c", None), rows[0], rows[1], (*rows[2][:5], "y", *rows[2][6:])]
+    names = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, n_removed long, kept_text string, n_bytes long, n_spans long, kept_sha256 string, carry_0 string, cut_n_removed map<string,int>"
+    docs = spark.createDataFrame(rows, names)
+    seen, sizes = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, "")
+        assert seen.columns == docs.columns
+        seen = spark.createDataFrame(seen.collect(), docs.schema).repartition(3)
+        sizes.append(seen.count())
+    # Equal ids with different texts stay; equal texts under one id go.
+    assert sizes[0] == len(rows) and sizes[1] == len(texts)
+    assert {r.lang_pred for r in seen.collect()} <= {"x", "y"}
+    out = corpus_pipeline.STAGES[-1][1](spark, seen, "").collect()
+    assert len(out) == sizes[-1] and all(r.exact for r in out)
