@@ -1,4 +1,8 @@
-"""A corpus pipeline of the training-data operators: each stage works on what its predecessor kept."""
+"""A corpus pipeline of the training-data operators: each stage works on what its predecessor kept.
+
+Rows, not ids, are what the stages keep: rows with equal or null ids are
+documents of their own, and extra columns of any name travel along.
+"""
 
 from __future__ import annotations
 
@@ -13,26 +17,53 @@ from kinweave.llm.storage import materialize
 LEAST_SCORE = 0.35
 
 
+def _own(docs: DataFrame, *names: str) -> list[str]:
+    """Names for results that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells; those without letters or with a score below LEAST_SCORE go."""
     net = langid.fit(docs.where(~held_out("doc_id")))
-    marked = langid.identify(docs, net, carry=tuple(docs.columns))
-    return marked.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = _own(docs, "lang_pred", "score")
+    marked = langid.identify(docs, net, carry=tuple(docs.columns), results=(lang, score))
+    return marked.where((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near-duplicates of five-word shingles at 0.8."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document, that of the smallest id, of each group of near-duplicates of five-word shingles at 0.8; of rows that are equal in all columns one stays.
+
+    Rows go by a 64-bit code of all their columns, so equal ids with different
+    texts are different documents.
+    """
+    row, first = _own(docs, "row_code", "row_first")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])) if len(docs.columns) > 2 else F.lit("")
+    coded = docs.withColumn(row, F.xxhash64("doc_id", "text", rest))
+    groups = neardup.near_duplicates(coded.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias(row), F.col("component_id").alias(first)).distinct()
+    # The smallest id of each group; partial sums first, so a group of any size is one row of a task.
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    best = coded.select(row, "doc_id").join(groups, row).groupBy(first).agg(F.min(order).alias("best")).select(F.col(f"best.{row}").alias(row))
+    kept = coded.join(best, row, "left_semi")
+    return kept.dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that a document with a smaller id has; documents with nothing left go."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffixes.remove_repeats(docs, keep_text=True, carry=rest)
-    out = cut.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    (prefix,) = _own(docs, "cut_")
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    cut = suffixes.remove_repeats(docs, keep_text=True, carry=rest, prefix=prefix)
+    out = cut.where((F.col(f"{prefix}n_removed") == 0) | (F.trim(f"{prefix}kept_text") != ""))
+    text = F.col(f"{prefix}kept_text")
+    own = {"text": text.alias("text"), "n_chars": F.char_length(text).cast("long").alias("n_chars")}
+    return out.select(*[own.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
