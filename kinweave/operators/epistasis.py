@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.special import f_isf, f_sf_udf
+from kinweave.functions.special import f_isf, f_sf, f_sf_udf
 from kinweave.operators import linalg
-from kinweave.operators.kinship import chromosome_sums, dosage_matrix
+from kinweave.operators.kinship import assembled, chromosome_sums, dosage_matrix, fold_tiles
 from kinweave.operators.scan import Design, pack, unpack
 
-PAIRS = "pheno_idx int, perm int, i int, j int, f double, beta double, se double"
+#: Anchors of a task, and numbers of a batch of products (1 GB).
+ANCHORS, PRODUCTS = 64, 1 << 27
+PAIRS = "pheno_idx int, perm int, i int, j int, f double, beta double, se double, p double"
 
 
 def pair_masks(variants: DataFrame, window: int) -> DataFrame:
@@ -33,97 +34,112 @@ def permuted(y: np.ndarray, n_perm: int, seed: int) -> np.ndarray:
 def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = None, top_k: int = 1000, p_threshold: float | None = None, n_perm: int = 0, seed: int = 19930909, window: int = 25_000, var_floor: float = 1e-8) -> DataFrame:
     """Interactions of anchors (pheno_idx, variant_idx; all variants if None) with all variants, tile by tile.
 
-    A tile is a pair of chromosomes; its kinship leaves both out, and delta is
-    fitted once with the covariates alone. Anchors are tested one by one with
-    the design [covariates, anchor] against standardised products. Each tile
-    hands out its best ``top_k`` pairs of a phenotype, or all pairs below
-    ``p_threshold``, and the largest F of each permutation.
+    A tile is a pair of chromosomes; its kinship leaves both out, so (a, b) and
+    (b, a) share one decomposition, and delta is fitted once with the covariates
+    alone. A task takes up to ``ANCHORS`` anchors of a tile: their standardised
+    products with the tile's variants are rotated together and tested with the
+    design [covariates, anchor]. Each task hands out the best ``top_k`` pairs of
+    a phenotype, or all pairs below ``p_threshold``, and the largest F of each
+    permutation; permutations are made in the tasks.
     """
     spark = variants.sparkSession
     symmetric = anchors is None
-    y = np.column_stack([d.y, permuted(d.y, n_perm, seed)])
     if not np.isfinite(d.y).all():
         raise ValueError("interaction scans need complete phenotypes")
     x = d.x[:, linalg.independent_columns(d.x)]
     real, nu = d.y.shape[1], float(len(x) - x.shape[1] - 2)
+    sent, numbers, places = spark.sparkContext.broadcast(d.y), d.columns, d.places
     cut = f_isf(p_threshold, nu) if p_threshold is not None else None
     rows = variants.select(F.col("chrom").cast("string").alias("chrom"), "variant_idx", "pos", "dosage")
-    sums = chromosome_sums(variants, d.places).persist()
-    chroms = sorted(r.chrom for r in sums.select("chrom").collect())
+    chroms = sorted(r.chrom for r in rows.select("chrom").distinct().collect())
     if anchors is None:
-        listed = rows.select("chrom", "variant_idx").withColumn("phenos", F.array(*[F.lit(int(c)) for c in d.columns]))
+        listed = rows.select("chrom", "variant_idx").withColumn("phenos", F.lit(None).cast("array<int>"))
     else:
-        listed = anchors.groupBy("variant_idx").agg(F.sort_array(F.collect_set("pheno_idx")).alias("phenos")).join(rows.select("chrom", "variant_idx"), "variant_idx")
-    anchor_chroms = sorted(r.chrom for r in listed.select("chrom").distinct().collect())
-    tiles = [(a, b) for a in anchor_chroms for b in chroms if not symmetric or a <= b]
-    if any(not set(chroms) - {a, b} for a, b in tiles):
+        listed = anchors.groupBy("variant_idx").agg(F.sort_array(F.collect_set("pheno_idx")).cast("array<int>").alias("phenos")).join(rows.select("chrom", "variant_idx"), "variant_idx")
+    listed = listed.persist()
+    count = {r.chrom: r["count"] for r in listed.groupBy("chrom").count().collect()}
+    tiles = [(a, b, min(a, b), max(a, b), -(-count[a] // ANCHORS)) for a in sorted(count) for b in chroms if not symmetric or a <= b]
+    if any(not set(chroms) - {a, b} for a, b, *_ in tiles):
         raise ValueError("a tile leaves no chromosome for the kinship")
-    plan = spark.createDataFrame(tiles, "ca string, cb string")
+    if not tiles:
+        raise ValueError("no anchor is left")
+    plan = F.broadcast(spark.createDataFrame(tiles, "ca string, cb string, lo string, hi string, parts int"))
+
+    def columns() -> np.ndarray:
+        return np.column_stack([sent.value, permuted(sent.value, n_perm, seed)])
 
     def fit(table: pa.Table) -> pa.Table:
-        n = len(x)
-        k = sum(np.frombuffer(b.as_buffer()).reshape(n, n) for b in table.column("k").combine_chunks()) / sum(table.column("m").to_pylist())
-        s, u, ux = linalg.plain_spectrum(k, x)
-        uy = u.T @ y
-        return pa.table({"ca": [table.column("ca")[0].as_py()], "cb": [table.column("cb")[0].as_py()], "model": pa.array([pack(s=s, u=u, ux=ux, uy=uy, log_delta=linalg.plain_fit(s, ux, uy))], pa.binary())})
-
-    models = plan.join(sums, (F.col("chrom") != F.col("ca")) & (F.col("chrom") != F.col("cb"))).groupBy("ca", "cb").applyInArrow(fit, "ca string, cb string, model binary").persist()
-    # A tile's work: each anchor against the tile's variants, an anchor a group, so tasks stay small and even.
-    left = listed.withColumnRenamed("chrom", "ca").join(rows.select("variant_idx", "pos", "dosage"), "variant_idx").join(plan, "ca")
-    left = left.select("ca", "cb", F.pmod(F.xxhash64("variant_idx"), F.lit(8)).alias("part"), F.col("variant_idx").alias("i"), F.col("pos").alias("pi"), F.col("dosage").alias("di"), "phenos")
-    parts = left.select("ca", "cb", F.col("part").alias("part_")).distinct()
-    right = parts.join(rows.withColumnRenamed("chrom", "cb"), "cb").select("ca", "cb", "part_", "variant_idx", "pos", "dosage", F.lit(None).cast("binary").alias("model"))
-    right = right.unionByName(parts.join(models, ["ca", "cb"]).select("ca", "cb", "part_", F.lit(-1).alias("variant_idx"), F.lit(None).cast(dict(rows.dtypes)["pos"]).alias("pos"), F.lit(None).cast("array<double>").alias("dosage"), "model"))
+        s, u, ux = linalg.plain_spectrum(assembled(table, len(x)), x)
+        lo, hi = table.column("fold")[0].as_py().split("\t")
+        return pa.table({"lo": [lo], "hi": [hi], "model": pa.array([pack(s=s, u=u, ux=ux, log_delta=linalg.plain_fit(s, ux, u.T @ columns()))], pa.binary())})
 
-    right = right.withColumnsRenamed({"ca": "ca_", "cb": "cb_"})
+    folds = {f"{lo}\t{hi}": {lo, hi} for _, _, lo, hi, _ in tiles}
+    models = fold_tiles(chromosome_sums(variants, places), folds).groupBy("fold").applyInArrow(fit, "lo string, hi string, model binary").persist()
+    left = listed.withColumnRenamed("chrom", "ca").join(rows.select("variant_idx", "pos", "dosage"), "variant_idx").join(plan, "ca")
+    left = left.select("ca", "cb", "lo", "hi", F.pmod(F.xxhash64("variant_idx"), F.col("parts")).cast("int").alias("part"), F.col("variant_idx").alias("i"), F.col("pos").alias("pi"), F.col("dosage").alias("di"), "phenos")
+    parts = left.select(F.col("ca").alias("ca_"), F.col("cb").alias("cb_"), F.col("part").alias("part_"), "lo", "hi").distinct()
+    own = ["ca_", "cb_", "part_", "variant_idx", "pos", "dosage", "model"]
+    right = parts.join(rows.withColumnRenamed("chrom", "cb_"), "cb_").withColumn("model", F.lit(None).cast("binary")).select(*own)
+    of_model = parts.join(models, ["lo", "hi"]).withColumns({"variant_idx": F.lit(-1).cast(dict(rows.dtypes)["variant_idx"]), "pos": F.lit(None).cast(dict(rows.dtypes)["pos"]), "dosage": F.lit(None).cast(dict(rows.dtypes)["dosage"])})
+    right = right.unionByName(of_model.select(*own))
+    schema = pa.schema([(c, pa.int32()) for c in ("pheno_idx", "perm", "i", "j")] + [(c, pa.float64()) for c in ("f", "beta", "se", "p")])
 
     def test(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows:
+            return schema.empty_table()
         model = unpack(next(m for m in two.column("model").to_pylist() if m))
         two = two.filter(pa.compute.greater_equal(two.column("variant_idx"), 0)).sort_by("variant_idx")
         jj, pj = two.column("variant_idx").to_numpy(), two.column("pos").to_numpy()
-        sj = linalg.standardise(dosage_matrix(two.column("dosage").combine_chunks(), d.places))
+        sj = linalg.standardise(dosage_matrix(two.column("dosage").combine_chunks(), places))
         same = one.column("ca")[0].as_py() == one.column("cb")[0].as_py()
-        si = linalg.standardise(dosage_matrix(one.column("di").combine_chunks(), d.places))
-        out, top = [], np.full(y.shape[1] - real, -np.inf)
-        for r, (i, pi, phenos) in enumerate(zip(one.column("i").to_pylist(), one.column("pi").to_pylist(), one.column("phenos").to_pylist(), strict=True)):
-            product = sj * si[r]
-            ok = (product.var(1) > var_floor) & (jj != i)
-            if same:
-                ok &= ~(np.abs(pj - pi) < window)
-                if symmetric:
-                    ok &= jj > i
-            if not ok.any():
+        si = linalg.standardise(dosage_matrix(one.column("di").combine_chunks(), places))
+        ui, uy = model["u"].T @ si.T, model["u"].T @ columns()
+        ii, pi, phenos = one.column("i").to_numpy(), one.column("pi").to_numpy(), one.column("phenos").to_pylist()
+        out, top = [], np.full(uy.shape[1] - real, -np.inf)
+        step = max(1, PRODUCTS // max(1, sj.size))
+        for a in range(0, len(ii), step):
+            chosen = []  # (anchor, variants) of the pairs of a batch
+            for r in range(a, min(a + step, len(ii))):
+                ok = ((sj * si[r]).var(1) > var_floor) & (jj != ii[r])
+                if same:
+                    ok &= ~(np.abs(pj - pi[r]) < window)
+                    if symmetric:
+                        ok &= jj > ii[r]
+                if ok.any():
+                    chosen.append((r, np.flatnonzero(ok)))
+            if not chosen:
                 continue
-            tests = linalg.standardise(product[ok]).T
-            ux = np.column_stack([model["ux"], model["u"].T @ si[r]])
-            got = linalg.plain_wald(model["s"], ux, model["uy"], model["log_delta"], model["u"].T @ tests, guard=True)
-            with np.errstate(all="ignore"):
-                top = np.fmax(top, np.fmax.reduce(got["f"][:, real:], axis=0, initial=-np.inf))
-            for c in phenos:
-                p = int(np.flatnonzero(d.columns == c)[0])
-                f = got["f"][:, p]
-                if cut is not None:
-                    chosen = np.flatnonzero(f > cut)
-                else:
-                    chosen = np.argsort(-f, kind="stable")[:top_k]
-                out.append(pd.DataFrame({"pheno_idx": c, "perm": -1, "i": i, "j": jj[ok][chosen], "f": f[chosen], "beta": got["beta"][chosen, p], "se": got["se"][chosen, p]}))
-        for k in range(n_perm):
-            out.append(pd.DataFrame({"pheno_idx": d.columns, "perm": k, "i": -1, "j": -1, "f": top[k * real : (k + 1) * real], "beta": np.nan, "se": np.nan}))
-        schema = pa.schema([(c, pa.int32()) for c in ("pheno_idx", "perm", "i", "j")] + [(c, pa.float64()) for c in ("f", "beta", "se")])
-        return pa.Table.from_pandas(pd.concat(out), schema=schema, preserve_index=False) if out else schema.empty_table()
+            rotated = model["u"].T @ np.concatenate([linalg.standardise(sj[k] * si[r]) for r, k in chosen]).T
+            at = 0
+            for r, k in chosen:
+                us = rotated[:, at : at + len(k)]
+                at += len(k)
+                got = linalg.plain_wald(model["s"], np.column_stack([model["ux"], ui[:, r]]), uy, model["log_delta"], us, guard=True)
+                with np.errstate(all="ignore"):
+                    top = np.fmax(top, np.fmax.reduce(got["f"][:, real:], axis=0, initial=-np.inf))
+                for p in range(real) if phenos[r] is None else np.flatnonzero(np.isin(numbers, phenos[r])):
+                    f = got["f"][:, p]
+                    best = np.flatnonzero(f > cut) if cut is not None else np.argsort(-f, kind="stable")[:top_k]
+                    n = len(best)
+                    out.append((np.full(n, numbers[p]), np.full(n, -1), np.full(n, ii[r]), jj[k][best], f[best], got["beta"][best, p], got["se"][best, p], f_sf(f[best], nu)))
+        if n_perm:
+            none = np.full(len(top), np.nan)
+            out.append((np.tile(numbers, n_perm), np.repeat(np.arange(n_perm), real), np.full(len(top), -1), np.full(len(top), -1), top, none, none, none))
+        if not out:
+            return schema.empty_table()
+        return pa.table([pa.array(np.concatenate(v), t.type) for v, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     found = left.groupBy("ca", "cb", "part").cogroup(right.groupBy("ca_", "cb_", "part_")).applyInArrow(test, PAIRS).withColumn("nu", F.lit(nu)).persist()
+    order = Window.partitionBy("pheno_idx").orderBy(F.desc("f"), "i", "j")
+    best = found.where("perm < 0").withColumn("rank", F.row_number().over(order))
     if cut is None:
-        order = Window.partitionBy("pheno_idx").orderBy(F.desc("f"), "i", "j")
-        best = found.where("perm < 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    else:
-        best = found.where("perm < 0").withColumn("rank", F.row_number().over(Window.partitionBy("pheno_idx").orderBy(F.desc("f"), "i", "j")))
+        best = best.where(F.col("rank") <= top_k)
     rest = found.where("perm >= 0").withColumn("rank", F.lit(0))
     return best.unionByName(rest)
 
 
 def pair_results(found: DataFrame) -> DataFrame:
-    return found.where("perm < 0").withColumn("p", f_sf_udf("f", "nu")).drop("perm")
+    return found.where("perm < 0").drop("perm")
 
 
 def pair_thresholds(found: DataFrame, q: float = 0.05) -> DataFrame:

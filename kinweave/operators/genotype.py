@@ -30,7 +30,10 @@ def standardise(calls: DataFrame) -> DataFrame:
 
 def maf_filter(calls: DataFrame, floor: float = 0.05) -> DataFrame:
     """variants with minor allele frequency of at least ``floor``; refuses to drop all."""
-    return variant_stats(calls).where(F.col("maf") >= floor)
+    kept = variant_stats(calls).where(F.col("maf") >= floor)
+    if kept.isEmpty():
+        raise ValueError(f"no variant has a minor allele frequency of {floor} or more")
+    return kept
 
 
 def spaced_markers(m: int, k: int, variants: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Kinship matrices (A2, J2, J3, N2): partial sums of z z' by chromosome, and leave-out matrices by subtraction.
-
-A task adds up the products of its own variants with BLAS and hands out one
-matrix for each chromosome it saw; the matrices of a chromosome are added in a
-second step. Leaving chromosomes out is a subtraction from the total, so C
-folds cost one pass over the variants, not C.
+"""Kinship matrices (A2, J2, J3, N2): sums of z z' by chromosome, and leave-out matrices by subtraction.
+
+A matrix of all samples is handled in tiles of ``TILE`` x ``TILE`` doubles, of
+which the upper triangle is kept. A task multiplies its own variants with BLAS
+and hands out the tiles of each chromosome it saw; tiles of one place are added
+as they stream by, so no task holds more than one sum. Leaving chromosomes out
+is a subtraction from the total of all chromosomes, tile by tile, so C folds
+cost one pass over the variants. Only the task that decomposes a fold's matrix
+holds it whole.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import linalg
 
+TILE = 512
+
 
 def dosage_matrix(column: pa.Array, keep: np.ndarray | None = None) -> np.ndarray:
     """(variants, samples) doubles of a list column; NULL is NaN."""
@@ -25,8 +30,12 @@ def dosage_matrix(column: pa.Array, keep: np.ndarray | None = None) -> np.ndarra
     return x if keep is None else x[:, keep]
 
 
+TILES = "chrom string, i int, j int, m long, k binary"
+
+
 def chromosome_sums(variants: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
-    """chrom, m (variants) and k (n x n doubles of the sum of z z')."""
+    """chrom, i, j (i <= j), m (variants) and k (a tile of the sum of z z') of every chromosome."""
+    kinds = pa.schema([("chrom", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("m", pa.int64()), ("k", pa.binary())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -38,21 +47,64 @@ def chromosome_sums(variants: DataFrame, keep: np.ndarray | None = None) -> Data
                 own = z[chrom == c]
                 sums[c] = sums.get(c, 0) + own.T @ own
                 counts[c] = counts.get(c, 0) + len(own)
-        yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chrom", "m", "k"])
+        for c, s in sums.items():
+            for i in range(0, len(s), TILE):
+                js = range(i, len(s), TILE)
+                tiles = [np.ascontiguousarray(s[i : i + TILE, j : j + TILE]).tobytes() for j in js]
+                n = len(tiles)
+                yield pa.record_batch([pa.array([c] * n), pa.array([i // TILE] * n, pa.int32()), pa.array([j // TILE for j in js], pa.int32()), pa.array([counts[c]] * n, pa.int64()), pa.array(tiles, pa.binary())], schema=kinds)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_buffer()) for b in table.column("k").combine_chunks())
-        return pa.table({"chrom": [table.column("chrom")[0].as_py()], "m": pa.array([sum(table.column("m").to_pylist())], pa.int64()), "k": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of runs of equal (i, j, chrom)."""
+        key, m, total = None, 0, np.zeros(0)
 
-    rows = variants.select(F.col("chrom").cast("string").alias("chrom"), "dosage")
-    return rows.mapInArrow(partial, "chrom string, m long, k binary").groupBy("chrom").applyInArrow(add, "chrom string, m long, k binary")
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([key[2]]), pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([m], pa.int64()), pa.array([total.tobytes()], pa.binary())], schema=kinds)
 
+        for batch in batches:
+            for row in range(batch.num_rows):
+                c, i, j, count = (batch.column(x)[row].as_py() for x in range(4))
+                tile = np.frombuffer(batch.column(4)[row].as_buffer())
+                if (i, j, c) != key:
+                    if key is not None:
+                        yield out()
+                    key, m, total = (i, j, c), 0, np.zeros(len(tile))
+                m += count
+                total = total + tile
+        if key is not None:
+            yield out()
 
-def folds(sums: DataFrame, tested: list[str], loco: bool = True) -> DataFrame:
-    """fold, chroms (that it tests), parts (chrom, m, k of the chromosomes whose kinship it takes)."""
-    spark = sums.sparkSession
-    plan = [(c, [c]) for c in tested] if loco else [("all", tested)]
-    return spark.createDataFrame(plan, "fold string, chroms array<string>").join(sums, F.expr("fold = 'all' OR NOT array_contains(chroms, chrom)"))
+    rows = variants.select(F.col("chrom").cast("string").alias("chrom"), "dosage")
+    return rows.mapInArrow(partial, TILES).repartition("i", "j", "chrom").sortWithinPartitions("i", "j", "chrom").mapInArrow(add, TILES)
+
+
+def fold_tiles(sums: DataFrame, folds: dict[str, set[str]]) -> DataFrame:
+    """fold, i, j, k: tiles of the kinship of each fold, given the chromosomes that it leaves out."""
+
+    def subtract(table: pa.Table) -> pa.Table:
+        chroms, counts = table.column("chrom").to_pylist(), table.column("m").to_pylist()
+        tiles = [np.frombuffer(b.as_buffer()) for b in table.column("k").combine_chunks()]
+        total, m = sum(tiles), sum(counts)
+        out = []
+        for out_of in folds.values():
+            own = [x for x, c in enumerate(chroms) if c in out_of]
+            left = m - sum(counts[x] for x in own)
+            out.append(((total - sum(tiles[x] for x in own)) / left if own else total / left).tobytes())
+        n = len(out)
+        return pa.table({"fold": pa.array(list(folds)), "i": pa.array([table.column("i")[0].as_py()] * n, pa.int32()), "j": pa.array([table.column("j")[0].as_py()] * n, pa.int32()), "k": pa.array(out, pa.binary())})
+
+    return sums.groupBy("i", "j").applyInArrow(subtract, "fold string, i int, j int, k binary")
+
+
+def assembled(table: pa.Table, n: int) -> np.ndarray:
+    """The whole matrix of a fold from its tiles."""
+    out = np.empty((n, n))
+    for i, j, k in zip(table.column("i").to_pylist(), table.column("j").to_pylist(), table.column("k").combine_chunks(), strict=True):
+        a, b = slice(i * TILE, min((i + 1) * TILE, n)), slice(j * TILE, min((j + 1) * TILE, n))
+        tile = np.frombuffer(k.as_buffer()).reshape(a.stop - a.start, -1)
+        out[a, b] = tile
+        out[b, a] = tile.T
+    return out
 
 
 def grm_pairs(calls: DataFrame) -> DataFrame:

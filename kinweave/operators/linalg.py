@@ -119,12 +119,17 @@ def fit_delta(spec: Spectrum, uy: np.ndarray, off: np.ndarray) -> np.ndarray:
     return golden(lambda x: loss(x, spec.s, uy2, off, spec.rest), grid, values)
 
 
-def wald(spec: Spectrum, uy: np.ndarray, off: np.ndarray, log_delta: np.ndarray, y: np.ndarray, tests: np.ndarray) -> dict[str, np.ndarray]:
-    """N5 and N12 for tests (N x M) against all phenotypes: f, beta, se, sfve as M x P."""
+def prepared(spec: Spectrum, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tests (N x M) without the covariates, and rotated: what does not depend on phenotypes."""
+    r = spec.residual(tests)
+    return r, spec.u.T @ r
+
+
+def wald(spec: Spectrum, uy: np.ndarray, off: np.ndarray, log_delta: np.ndarray, y: np.ndarray, tests: np.ndarray | tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """N5 and N12 for tests (N x M, or prepared ones) against all phenotypes: f, beta, se, sfve as M x P."""
+    r, us = tests if isinstance(tests, tuple) else prepared(spec, tests)
     delta = np.exp(log_delta)
     w = 1 / (spec.s[:, None] + delta)
-    r = spec.residual(tests)
-    us = spec.u.T @ r
     n = len(spec.s) + spec.rest
     swy, sws = us.T @ (w * uy), (us * us).T @ w
     rwr = (w * uy * uy).sum(0)
@@ -146,21 +151,29 @@ def plain_spectrum(k: np.ndarray, x: np.ndarray, ridge: float = 1e-6) -> tuple[n
     return np.maximum(s, 0), u, u.T @ x
 
 
+def _weighted(ux: np.ndarray, uy: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X'WX (P x C x C), X'Wy (P x C) and y'Wy (P) for the weights (N x P) of each phenotype."""
+    c = ux.shape[1]
+    a = np.empty((w.shape[1], c, c))
+    for i in range(c):
+        for j in range(i, c):
+            a[:, i, j] = a[:, j, i] = (ux[:, i] * ux[:, j]) @ w
+    wy = w * uy
+    return a, (ux.T @ wy).T, (wy * uy).sum(0)
+
+
 def plain_loss(log_delta: np.ndarray, s: np.ndarray, ux: np.ndarray, uy: np.ndarray, reml: bool = False) -> np.ndarray:
     """Profile loss of each phenotype at its own log delta; infinite where X'WX is singular."""
     n, c = ux.shape
-    out = np.full(uy.shape[1], np.inf)
-    for p, ld in enumerate(log_delta):
-        w = 1 / (s + np.exp(ld))
-        a = (ux * w[:, None]).T @ ux
-        sign, logdet = np.linalg.slogdet(a)
-        if sign <= 0 or not np.isfinite(logdet):
-            continue
-        b = (ux * w[:, None]).T @ uy[:, p]
-        q = max(float((w * uy[:, p] ** 2).sum() - b @ np.linalg.solve(a, b)), FLOOR)
-        m = n - c if reml else n
-        out[p] = m * (np.log(2 * np.pi * q / m) + 1) - np.log(w).sum() + (logdet if reml else 0)
-    return out
+    w = 1 / (s[:, None] + np.exp(log_delta))
+    a, b, yy = _weighted(ux, uy, w)
+    sign, logdet = np.linalg.slogdet(a)
+    ok = (sign > 0) & np.isfinite(logdet)
+    solved = np.linalg.solve(np.where(ok[:, None, None], a, np.eye(c)), b[:, :, None])[:, :, 0]
+    q = np.maximum(yy - (b * solved).sum(1), FLOOR)
+    m = n - c if reml else n
+    loss = m * (np.log(2 * np.pi * q / m) + 1) - np.log(w).sum(0) + (logdet if reml else 0)
+    return np.where(ok, loss, np.inf)
 
 
 def plain_fit(s: np.ndarray, ux: np.ndarray, uy: np.ndarray, reml: bool = False) -> np.ndarray:
@@ -170,26 +183,26 @@ def plain_fit(s: np.ndarray, ux: np.ndarray, uy: np.ndarray, reml: bool = False)
 
 
 def plain_wald(s: np.ndarray, ux: np.ndarray, uy: np.ndarray, log_delta: np.ndarray, us: np.ndarray, guard: bool = False) -> dict[str, np.ndarray]:
-    """F, beta, se of rotated tests us (N x M); guard (F14): F is 0 where less than 1 % of a test is left by the design."""
+    """F, beta, se of rotated tests us (N x M) against all phenotypes at once; guard (F14): F is 0 where less than 1 % of a test is left by the design."""
     n, c = ux.shape
-    f, beta, se = (np.zeros((us.shape[1], uy.shape[1])) for _ in range(3))
-    for p, ld in enumerate(log_delta):
-        w = 1 / (s + np.exp(ld))
-        wx = ux * w[:, None]
-        inverse = np.linalg.pinv(wx.T @ ux)
-        bx = wx.T @ us
-        sws = (us * us).T @ w
-        left = sws - (bx * (inverse @ bx)).sum(0)
-        by = wx.T @ uy[:, p]
-        num = us.T @ (w * uy[:, p]) - bx.T @ (inverse @ by)
-        base = float((w * uy[:, p] ** 2).sum() - by @ inverse @ by)
-        ok = left > (0.01 * sws if guard else 1e-12 * np.maximum(sws, FLOOR))
-        d = np.where(ok, left, 1)
-        b = np.where(ok, num / d, 0)
-        rss = np.maximum(base - np.where(ok, num * num / d, 0), FLOOR)
-        v = rss / (n - c - 1) / d
-        f[:, p], beta[:, p], se[:, p] = np.where(ok, b * b / v, 0), b, np.where(ok, np.sqrt(v), np.nan)
-    return {"f": f, "beta": beta, "se": se}
+    w = 1 / (s[:, None] + np.exp(log_delta))
+    a, b, yy = _weighted(ux, uy, w)
+    inverse = np.linalg.pinv(a, hermitian=True)
+    by = (inverse @ b[:, :, None])[:, :, 0]
+    sws = (us * us).T @ w
+    num = us.T @ (w * uy)
+    left = sws.copy()
+    bx = [us.T @ (w * ux[:, [i]]) for i in range(c)]
+    for i in range(c):
+        num -= bx[i] * by[:, i]
+        for j in range(c):
+            left -= bx[i] * bx[j] * inverse[:, i, j]
+    base = yy - (b * by).sum(1)
+    ok = left > (0.01 * sws if guard else 1e-12 * np.maximum(sws, FLOOR))
+    d = np.where(ok, left, 1)
+    beta = np.where(ok, num / d, 0)
+    v = np.maximum(base - np.where(ok, num * num / d, 0), FLOOR) / (n - c - 1) / d
+    return {"f": np.where(ok, beta * beta / v, 0), "beta": beta, "se": np.where(ok, np.sqrt(v), np.nan)}
 
 
 def randomized_eigh(z: np.ndarray, rank: int = 200, oversample: int = 20, rounds: int = 2, seed: int = 19930909) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +218,12 @@ def randomized_eigh(z: np.ndarray, rank: int = 200, oversample: int = 20, rounds
     return lam[order], q @ v[:, order]
 
 
+def flat(y: np.ndarray, least: int) -> bool:
+    """F8 for one column: fewer than two levels, or a rarest level of fewer than ``least`` samples."""
+    _, n = np.unique(y[np.isfinite(y)], return_counts=True)
+    return len(n) < 2 or int(n.min()) < least
+
+
 def permutation_orders(n_perm: int, n: int, seed: int, column: int) -> np.ndarray:
     """Orders of the samples for one phenotype column."""
     return np.random.default_rng([seed, column]).random((n_perm, n)).argsort(axis=1)

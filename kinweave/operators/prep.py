@@ -113,24 +113,39 @@ def na_groups(phenos: DataFrame) -> DataFrame:
     return per.select("pheno_idx", "pheno", F.md5(F.array_join("gone", ",").cast("binary")).alias("pattern"), F.size("gone").cast("long").alias("missing"), "kept")
 
 
-def prepare(phenos: DataFrame, *, missing_code: float | None = None, categorical: tuple[str, ...] = (), rint: bool = True, rint_discrete: bool = True, ties: str = "average") -> DataFrame:
-    """F7, in order: missing code, one-vs-rest, discrete mask, guard against -9, rank normalisation of what isn't raw."""
+def prepare(phenos: DataFrame, *, missing_code: float | None = None, categorical: tuple[str, ...] = (), rint: bool = True, rint_discrete: bool = True, ties: str = "average", flags: bool = False) -> DataFrame:
+    """F7, in order: missing code, one-vs-rest, discrete mask, guard against -9, rank normalisation of what isn't raw.
+
+    Indicators stay raw, and with ``rint_discrete`` off all discrete phenotypes.
+    Without a missing code, -9 in a discrete phenotype that stays untransformed
+    would be read as a level and is refused. ``flags`` adds the column raw.
+    """
     if missing_code is not None:
         phenos = phenos.withColumn("value", F.when(F.col("value") != missing_code, F.col("value")))
     if categorical:
-        flags = one_vs_rest(phenos.where(F.col("pheno").isin(*categorical))).select("iid", "pheno_idx", F.col("indicator").alias("pheno"), F.col("value").cast("double").alias("value"), F.lit(True).alias("raw"))
-        phenos = phenos.where(~F.col("pheno").isin(*categorical)).select("iid", "pheno_idx", "pheno", "value", F.lit(False).alias("raw")).unionByName(flags)
-        phenos = phenos.withColumn("pheno_idx", F.dense_rank().over(Window.orderBy("pheno_idx", "pheno")) - 1)
-        if phenos.groupBy("pheno").agg(F.count_distinct("pheno_idx").alias("n")).where("n > 1").limit(1).count():
+        lacking = sorted(set(categorical) - {r.pheno for r in phenos.select("pheno").distinct().collect()})
+        if lacking:
+            raise ValueError(f"no phenotype is named {', '.join(lacking)}")
+        ones = one_vs_rest(phenos.where(F.col("pheno").isin(*categorical))).select("iid", "pheno_idx", F.col("indicator").alias("pheno"), F.col("value").cast("double").alias("value"), F.lit(True).alias("raw"))
+        phenos = phenos.where(~F.col("pheno").isin(*categorical)).select("iid", "pheno_idx", "pheno", "value", F.lit(False).alias("raw")).unionByName(ones)
+        # Column numbers after the expansion; the table of names is small.
+        names = phenos.select("pheno_idx", "pheno").distinct().withColumn("new", F.row_number().over(Window.orderBy("pheno_idx", "pheno")) - 1)
+        if names.groupBy("pheno").count().where("count > 1").limit(1).count():
             raise ValueError("an indicator has the name of another phenotype")
+        phenos = phenos.join(F.broadcast(names), ["pheno_idx", "pheno"]).select("iid", F.col("new").alias("pheno_idx"), "pheno", "value", "raw")
     else:
         phenos = phenos.select("iid", "pheno_idx", "pheno", "value", F.lit(False).alias("raw"))
     discrete = discrete_mask(phenos).select("pheno_idx", "discrete")
     phenos = phenos.join(F.broadcast(discrete), "pheno_idx", "left").withColumn("discrete", F.coalesce("discrete", F.lit(False)))
-    if phenos.where((F.col("value") == -9) & ~F.col("raw")).limit(1).count():
-        raise ValueError("a phenotype holds -9: name it as missing_code, or recode it")
-    if not rint:
-        return phenos.drop("raw", "discrete")
-    raw = F.col("raw") | (F.col("discrete") & F.lit(not rint_discrete))
-    done = rank_normalise(phenos.where(~raw).drop("raw", "discrete"), ties=ties)
-    return done.unionByName(phenos.where(raw).drop("raw", "discrete"))
+    if not rint_discrete:
+        phenos = phenos.withColumn("raw", F.col("raw") | F.col("discrete"))
+    untouched = F.col("discrete") if not rint else F.col("discrete") & F.col("raw")
+    if missing_code is None:
+        bad = [r.pheno for r in phenos.where((F.col("value") == -9) & untouched).select("pheno").distinct().limit(5).collect()]
+        if bad:
+            raise ValueError(f"discrete phenotypes hold -9, which would be read as a level: {', '.join(bad)}; name it as the missing code")
+    phenos = phenos.drop("discrete")
+    if rint:
+        done = rank_normalise(phenos.where("NOT raw"), ties=ties)
+        phenos = done.unionByName(phenos.where("raw"))
+    return phenos if flags else phenos.drop("raw")

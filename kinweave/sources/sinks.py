@@ -54,7 +54,7 @@ def wide_matrix(phenos: DataFrame) -> DataFrame:
 
 
 def write_json(spark: SparkSession, path: str, record: dict) -> None:
-    """A small record of the driver, written whole to a new name and renamed."""
+    """A small record of the driver, written whole to a new name that then takes the old one's place in one step."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -62,8 +62,10 @@ def write_json(spark: SparkSession, path: str, record: dict) -> None:
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(record | {"ts": time.time()}, sort_keys=True).encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(part, target, options)
 
 
 def run_record(spark: SparkSession, arguments: dict) -> dict:
