@@ -9,13 +9,14 @@ its target, once more the documents whose hash lies below a threshold. The
 threshold is found without sorting documents: words are summed by source and
 the leading bits of the hash, the bucket in which the running sum passes the
 budget is the boundary, and only its documents are summed again by the next
-bits. Four levels of 12 bits leave one document, or a few with equal ids, in
-the last bucket, which is taken if that brings the sum nearer to the budget.
+bits. Four levels of 12 bits leave one id in the last bucket; where several
+rows share it (equal or null ids) four more levels go by a hash of the text.
+The last bucket is taken if that brings the sum nearer to the budget.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is
 a source of its own; an empty table gives an empty table; a null id hashes as
-the empty string; rows with equal ids are taken alike. Only the named columns
-are read.
+the empty string; rows with equal ids and texts are taken alike. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def hash_of(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
+def text_hash_of(text: Column) -> Column:
+    """48 bits of the text's MD5; null is empty. Orders rows of one id."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """src, source_size, target, full (whole passes over the source) and rest (words of one more, partial pass), a row a source.
 
@@ -80,8 +86,8 @@ def source_key(source: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> tuple[DataFrame, DataFrame, bool]:
-    """Narrow rows (mix_id, k, size, h); the plan, a row a source: k, source_size, target, full, and the hash below which documents go in once more; whether the plan is small enough to broadcast."""
-    rows = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("src"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), seed).alias("h"))
+    """Narrow rows (mix_id, k, size, h, g); the plan, a row a source: k, source_size, target, full, and the hashes below which documents go in once more; whether the plan is small enough to broadcast."""
+    rows = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("src"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), seed).alias("h"), text_hash_of(F.col(text_col)).alias("g"))
     rows = materialize(rows, "mix-sizes").withColumn("k", source_key(F.col("src")))
     plan = source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")))
     plan = materialize(plan.withColumn("k", source_key(F.col("src"))).drop("src"), "mix-targets")
@@ -90,48 +96,59 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    cut = rows.select("k", "h", "size").join(near(plan.select("k", "rest").where("rest > 0")), "k")
-    found = None
-    for level in range(LEVELS):
-        shift = (LEVELS - 1 - level) * BITS
-        by = cut.groupBy("k", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("words"))
-        by = by.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("b")))
-        edge = by.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
-        found = edge.select("k", "b", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), "words")
-        if level < LEVELS - 1:
-            cut = rows.select("k", "h", "size", F.shiftright("h", shift).alias("b")).join(near(found.drop("words")), ["k", "b"]).drop("b")
+    def boundary(own: DataFrame, budget: DataFrame, key: str) -> DataFrame:
+        """k, b, rest, words, many: the value of ``key`` at which the running sum passes the budget, what is left of it there, the words at that value and whether several rows have them."""
+        cut, found = own.select("k", key, "size").join(near(budget), "k"), None
+        for level in range(LEVELS):
+            shift = (LEVELS - 1 - level) * BITS
+            by = cut.groupBy("k", "rest", F.shiftright(key, shift).alias("b")).agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
+            by = by.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("b")))
+            edge = by.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
+            found = edge.select("k", "b", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), "words", (F.col("n") > 1).alias("many"))
+            if level < LEVELS - 1:
+                cut = own.select("k", key, "size", F.shiftright(key, shift).alias("b")).join(near(found.drop("words", "many")), ["k", "b"]).drop("b")
+        return found
+
     # The last bucket goes in if its words overshoot by less than they would be missed.
     limit = F.when(F.col("words") - F.col("rest") < F.col("rest"), F.col("b") + 1).otherwise(F.col("b"))
-    plan = plan.join(near(found.select("k", limit.alias("below"))), "k", "left")
+    by_id = materialize(boundary(rows, plan.select("k", "rest").where("rest > 0"), "h"), "mix-boundary")
+    edges = by_id.where("NOT many").select("k", limit.alias("below"), F.lit(None).cast("long").alias("at_id"), F.lit(None).cast("long").alias("below_text"))
+    shared = by_id.where("many")
+    if not shared.isEmpty():
+        inside = rows.join(near(shared.select("k", F.col("b").alias("h"))), ["k", "h"])
+        by_text = boundary(inside, shared.select("k", "rest"), "g").select("k", limit.alias("below_text"))
+        edges = edges.unionByName(shared.join(by_text, "k").select("k", F.col("b").alias("below"), F.col("b").alias("at_id"), "below_text"))
+    plan = plan.join(near(edges), "k", "left")
     return rows, materialize(plan.drop("rest"), "mix-plan"), small
 
 
-def passes(h: Column) -> Column:
-    """How often a document is taken, given its hash and its source's row of the plan."""
-    return (F.col("full") + F.when(h < F.col("below"), 1).otherwise(0)).cast("long")
+def passes(h: Column, g: Column) -> Column:
+    """How often a document is taken, given its hashes and its source's row of the plan."""
+    return (F.col("full") + F.when((h < F.col("below")) | (h == F.col("at_id")) & (g < F.col("below_text")), 1).otherwise(0)).cast("long")
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", **options: str) -> DataFrame:
     """id, size, source_size, target and taken of every row."""
     rows, plan, small = mix_plan(docs, id_col=id_col, **options)
     out = rows.join(F.broadcast(plan) if small else plan, "k")
-    return out.select(F.col("mix_id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes(F.col("h"))).cast("long").alias("taken"))
+    return out.select(F.col("mix_id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes(F.col("h"), F.col("g"))).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
     _, plan, small = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
-    plan = plan.select(F.col("k").alias("mix_k"), F.col("full"), F.col("below"))
-    own = docs.withColumn("mix_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("mix_row", source_key(F.col(source_col)).alias("mix_k"), hash_of(F.col(id_col), seed).alias("mix_h"))
+    plan = plan.select(F.col("k").alias("mix_k"), "full", "below", "at_id", "below_text")
+    own = docs.withColumn("mix_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("mix_row", source_key(F.col(source_col)).alias("mix_k"), hash_of(F.col(id_col), seed).alias("mix_h"), text_hash_of(F.col(text_col)).alias("mix_g"))
     out = own.join(F.broadcast(plan) if small else plan, "mix_k")
-    return out.withColumn("mix_times", passes(F.col("mix_h"))).where("mix_times > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_row.*")
+    return out.withColumn("mix_times", passes(F.col("mix_h"), F.col("mix_g"))).where("mix_times > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_row.*")
 
 
 SQL = r"""
 WITH rows AS (
   SELECT doc_id, source AS src,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h,
+         CAST('0x' || substr(md5(coalesce(text, '')), 1, 12) AS BIGINT) AS g
   FROM documents),
 sizes AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY src IS NULL, src) AS n FROM rows GROUP BY src),
 weighed AS (SELECT *, (n - 1) % 3 + 1 AS w, 3 * source_size AS top FROM sizes),
@@ -144,11 +161,11 @@ plan0 AS (SELECT src, source_size, CASE WHEN rnum * w > top * rden THEN CAST(top
 plan1 AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS passes FROM plan0),
 plan2 AS (SELECT *, greatest(0.0, target - passes * source_size) AS rest FROM plan1),
 run AS (
-  SELECT r.src, r.h, p.rest, sum(r.size) AS words, sum(sum(r.size)) OVER (PARTITION BY r.src ORDER BY r.h) AS upto
-  FROM rows r JOIN plan2 p ON r.src IS NOT DISTINCT FROM p.src WHERE p.rest > 0 GROUP BY r.src, r.h, p.rest),
+  SELECT r.src, r.h, r.g, p.rest, sum(r.size) AS words, sum(sum(r.size)) OVER (PARTITION BY r.src ORDER BY r.h, r.g) AS upto
+  FROM rows r JOIN plan2 p ON r.src IS NOT DISTINCT FROM p.src WHERE p.rest > 0 GROUP BY r.src, r.h, r.g, p.rest),
 edge AS (
-  SELECT src, CASE WHEN upto - rest < rest - (upto - words) THEN h + 1 ELSE h END AS below
+  SELECT src, h, CASE WHEN upto - rest < rest - (upto - words) THEN g + 1 ELSE g END AS below
   FROM run WHERE upto > rest AND upto - words <= rest)
-SELECT r.doc_id, r.size, p.source_size, p.target, CAST(r.size * (p.passes + CASE WHEN r.h < e.below THEN 1 ELSE 0 END) AS BIGINT) AS taken
+SELECT r.doc_id, r.size, p.source_size, p.target, CAST(r.size * (p.passes + CASE WHEN r.h < e.h OR (r.h = e.h AND r.g < e.below) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rows r JOIN plan2 p ON r.src IS NOT DISTINCT FROM p.src LEFT JOIN edge e ON r.src IS NOT DISTINCT FROM e.src
 """

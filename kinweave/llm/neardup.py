@@ -48,6 +48,7 @@ BANDS, ROWS, HASHES = 38, 5, 1024
 SLICE = 1 << 20
 BLOCK = 2048
 MARGIN = 0.065
+HOT_KEYS, HOT_ROWS = 10_000, 256
 WORDS64 = HASHES // 64
 _TABLE = byte_table(77)
 _RNG = np.random.default_rng(9)
@@ -216,14 +217,28 @@ def _crossing(percent: int, most: int):
     return lambda table: _cross(table, percent, most)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key, whose column ``size`` says how many rows of ``left`` have it.
+
+    Keys with a share of 1 / ``HOT_KEYS`` of all rows or more are at most
+    HOT_KEYS in number: their rows stay where they are and meet a broadcast of
+    that many rows. All others are joined by key, none of them large.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(right.where(F.col(size) >= least).drop(size))
+    rest = left.join(F.broadcast(right.where(F.col(size) >= least).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.where(F.col(size) < least).drop(size), keys))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of every node of ``links`` (a > b), by large-star and small-star rounds."""
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("links")).select("a", F.least("a", "m").alias("m"), "links"), "stars")
+        n = least.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+        large = hot_join(both, least, ["a"], "links", n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -241,14 +256,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     facts = slim.mapInArrow(tidy(lambda batches: _facts(batches, words)), "doc long, n long, ca long, cb long, bands array<long>")
     facts = materialize(facts, "minhash")
     linked = facts.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    classes = linked.groupBy("n", "ca", "cb").agg(F.min("doc").alias("rep"))
-    member = materialize(linked.select("doc", "n", "ca", "cb").join(classes, ["n", "ca", "cb"]).select("doc", "rep").distinct(), "classes")
+    classes = materialize(linked.groupBy("n", "ca", "cb").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    member = materialize(hot_join(linked.select("doc", "n", "ca", "cb"), classes, ["n", "ca", "cb"], "copies", total).select("doc", "rep").distinct(), "members")
     own = member.where("doc = rep").select("rep").distinct()
     reps = materialize(linked.join(own, linked.doc == own.rep, "left_semi").select(F.col("doc").alias("rep"), "n", "bands"), "reps")
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("size")).where("pivot < top").drop("top")
-    inside = materialize(banded.join(shared, "key").distinct(), "buckets")
+    shared = materialize(shared.withColumn("rows", F.col("size")), "bands")
+    inside = materialize(hot_join(banded, shared, ["key"], "rows", BANDS * total).distinct(), "buckets")
     near = inside.select("rep").distinct()
     texts = materialize(slim.join(near.withColumnRenamed("rep", "doc"), "doc", "left_semi"), "bucket-texts")
     sigs = texts.mapInArrow(tidy(lambda batches: _signatures(batches, words)), "rep long, sig array<long>")

@@ -22,8 +22,9 @@ one that lets neighbouring places travel together: a window's rarest-looking
 A group's smallest doc_id keeps its window; the others' bytes are removed. All
 three stages read the same shuffled chunks of documents (Spark reuses the
 exchange), so texts move once; what a group of copies sends is bounded by the
-number of chunks, not of copies. A chunk is about ``CHUNK`` bytes, longer only
-if one text is. Nothing is sampled or capped.
+number of chunks, not of copies. Rows are dealt to chunks by id and text, so
+neither null nor repeated ids meet in one. A chunk is about ``CHUNK`` bytes,
+longer only if one text (or many equal rows) is. Nothing is sampled or capped.
 
 Defined results: null text is empty; texts shorter than the window lose
 nothing; a null id counts as larger than all others; rows with equal ids do
@@ -240,7 +241,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     buckets = chunks
     doc = F.col(id_col).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()
-    x = docs.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).alias("chunk"), doc.alias("doc"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
+    x = docs.select(F.pmod(F.xxhash64(doc, F.col(text_col)), F.lit(chunks)).alias("chunk"), doc.alias("doc"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
     x = x.repartition(chunks, "chunk")
 
     def first_digit(table: pa.Table) -> pa.Table:

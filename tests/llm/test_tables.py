@@ -61,6 +61,20 @@ def test_mix_meets_targets(spark, docs):
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in rows)
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_repeated_and_null_ids_meet_targets(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "SMALL_SOURCES", most)
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (1 + i % 9) + [f"t{i}"]), "big" if i % 3 else "small") for i in range(300)] + [(None, None, "empty"), (None, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns, want = _oracle(mixing.SQL, rows)
+    got = mixing.mix_sources(df).select(*columns).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == want
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+    assert sum(len((r.text or "").split()) for r in mixing.mixed(df).collect()) == sum(r.taken for r in got)
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.Pieces.load()

@@ -104,6 +104,13 @@ def test_small_blocks_lose_no_link(spark, rows, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=4).collect()} == groups
 
 
+def test_hot_keys_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 2)
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None] + [(600 + i, rows[0][1]) for i in range(30)], "doc_id long, text string")
+    _, groups = brute_groups([tuple(r) for r in docs.collect()], 5, 80)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == groups
+
+
 def test_components_of_chains(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 50), (100, 60)]
     got = {r.node: r.comp for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
