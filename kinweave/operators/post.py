@@ -76,12 +76,33 @@ def manhattan(results: DataFrame, lengths: DataFrame | None = None) -> DataFrame
     return rows.withColumn("x", F.col("offset") + F.col("pos")).withColumn("y", -F.log10(F.greatest("p", F.coalesce("least", F.lit(5e-324))))).drop("least")
 
 
-def svg(points: DataFrame, title: str, limit: int = 20_000) -> str:
-    """K16 without a plotting library: a plain scatter of a layout's most significant points."""
-    rows = points.orderBy(F.desc("y")).limit(limit).select("x", "y").collect()
+def svg(points: DataFrame, title: str, limit: int = 20_000, labels: int = 10) -> str:
+    """K16, W10 without a plotting library: a scatter of a layout's most significant points, its threshold, chromosome names and the best hits' names."""
+    from html import escape
+
+    extra = [F.col(c) for c in ("threshold", "variant_idx", "chrom", "centre") if c in points.columns]
+    rows = points.select("x", "y", *extra).orderBy(F.desc("y"), "x").limit(limit).collect()
     wide, high = max((r.x for r in rows), default=1.0) or 1.0, max((r.y for r in rows), default=1.0) or 1.0
-    dots = "".join(f'<circle cx="{20 + 960 * r.x / wide:.1f}" cy="{380 - 340 * r.y / high:.1f}" r="2"/>' for r in rows)
-    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 400"><title>{title}</title>{dots}</svg>'
+    at = lambda x, y: (20 + 960 * x / wide, 380 - 340 * y / high)
+    chroms = sorted({str(r.chrom) for r in rows}) if rows and "chrom" in rows[0] else []
+    shades = ("#334", "#778")
+    parts = []
+    for r in rows:
+        x, y = at(r.x, r.y)
+        shade = shades[chroms.index(str(r.chrom)) % 2] if chroms else shades[0]
+        parts.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="2" fill="{shade}"/>')
+    if rows and "threshold" in rows[0] and rows[0].threshold:
+        import math
+
+        y = at(0, min(-math.log10(rows[0].threshold), high * 1.05))[1]
+        parts.append(f'<line x1="20" x2="980" y1="{y:.1f}" y2="{y:.1f}" stroke="#a33" stroke-dasharray="4"/>')
+    if rows and "variant_idx" in rows[0]:
+        for r in rows[:labels]:
+            x, y = at(r.x, r.y)
+            parts.append(f'<text x="{x:.1f}" y="{y - 4:.1f}" font-size="8">{escape(str(r.variant_idx))}</text>')
+    for name, centre in sorted({(str(r.chrom), r.centre) for r in rows}) if rows and "centre" in rows[0] else ():
+        parts.append(f'<text x="{at(centre, 0)[0]:.1f}" y="395" font-size="9" text-anchor="middle">{escape(name)}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 400"><title>{escape(title)}</title>{"".join(parts)}</svg>'
 
 
 def status_rollup(status: DataFrame) -> DataFrame:

@@ -49,15 +49,24 @@ def degenerate(phenos: DataFrame, least: int = 10) -> DataFrame:
     return level_counts(phenos).withColumn("degenerate", (F.col("levels") < 2) | (F.col("rarest") < least))
 
 
-def one_vs_rest(phenos: DataFrame) -> DataFrame:
-    """0/1 indicators of each level (of two levels only the higher); missing stays missing."""
+def one_vs_rest(phenos: DataFrame, *, mark: str = "_", book: DataFrame | None = None) -> DataFrame:
+    """0/1 indicators of each level (of two levels only the higher); missing stays missing.
+
+    An indicator is named after its phenotype, ``mark`` and the level, or, where
+    ``book`` (pheno, code, label) knows the level, two underscores and the label
+    with characters that don't suit file names as underscores.
+    """
     levels = phenos.where(F.col("value").isNotNull()).select("pheno_idx", "pheno", F.col("value").alias("level")).distinct()
     every = Window.partitionBy("pheno_idx")
     levels = levels.withColumn("k", F.row_number().over(every.orderBy("level"))).withColumn("n", F.count(F.lit(1)).over(every)).where("n > 2 OR k = n")
-    rows = phenos.join(levels.drop("pheno"), "pheno_idx")
     number = F.when(F.col("level") == F.floor("level"), F.col("level").cast("bigint").cast("string")).otherwise(F.col("level").cast("string"))
-    tag = F.replace(number, F.lit("-"), F.lit("m"))
-    return rows.select("iid", "pheno_idx", "pheno", F.concat(F.col("pheno"), F.lit("_"), tag).alias("indicator"), F.when(F.col("value").isNotNull(), (F.col("value") == F.col("level")).cast("int")).alias("value"))
+    tag = F.concat(F.lit(mark), F.replace(number, F.lit("-"), F.lit("m")))
+    if book is not None:
+        labels = F.broadcast(book.select("pheno", F.col("code").cast("double").alias("level"), "label").dropDuplicates(["pheno", "level"]))
+        levels = levels.join(labels, ["pheno", "level"], "left")
+        tag = F.coalesce(F.concat(F.lit("__"), F.regexp_replace("label", r"[^\w.-]+", "_")), tag)
+    rows = phenos.join(levels.withColumn("tag", tag).drop("pheno", "label"), "pheno_idx")
+    return rows.select("iid", "pheno_idx", "pheno", F.concat(F.col("pheno"), F.col("tag")).alias("indicator"), F.when(F.col("value").isNotNull(), (F.col("value") == F.col("level")).cast("int")).alias("value"))
 
 
 def parse_levels(spec: str) -> dict[str, list[str]]:
@@ -113,7 +122,7 @@ def na_groups(phenos: DataFrame) -> DataFrame:
     return per.select("pheno_idx", "pheno", F.md5(F.array_join("gone", ",").cast("binary")).alias("pattern"), F.size("gone").cast("long").alias("missing"), "kept")
 
 
-def prepare(phenos: DataFrame, *, missing_code: float | None = None, categorical: tuple[str, ...] = (), rint: bool = True, rint_discrete: bool = True, ties: str = "average", flags: bool = False) -> DataFrame:
+def prepare(phenos: DataFrame, *, missing_code: float | None = None, categorical: tuple[str, ...] = (), rint: bool = True, rint_discrete: bool = True, ties: str = "average", flags: bool = False, book: DataFrame | None = None) -> DataFrame:
     """F7, in order: missing code, one-vs-rest, discrete mask, guard against -9, rank normalisation of what isn't raw.
 
     Indicators stay raw, and with ``rint_discrete`` off all discrete phenotypes.
@@ -126,7 +135,7 @@ def prepare(phenos: DataFrame, *, missing_code: float | None = None, categorical
         lacking = sorted(set(categorical) - {r.pheno for r in phenos.select("pheno").distinct().collect()})
         if lacking:
             raise ValueError(f"no phenotype is named {', '.join(lacking)}")
-        ones = one_vs_rest(phenos.where(F.col("pheno").isin(*categorical))).select("iid", "pheno_idx", F.col("indicator").alias("pheno"), F.col("value").cast("double").alias("value"), F.lit(True).alias("raw"))
+        ones = one_vs_rest(phenos.where(F.col("pheno").isin(*categorical)), mark="__lvl", book=book).select("iid", "pheno_idx", F.col("indicator").alias("pheno"), F.col("value").cast("double").alias("value"), F.lit(True).alias("raw"))
         phenos = phenos.where(~F.col("pheno").isin(*categorical)).select("iid", "pheno_idx", "pheno", "value", F.lit(False).alias("raw")).unionByName(ones)
         # Column numbers after the expansion; the table of names is small.
         names = phenos.select("pheno_idx", "pheno").distinct().withColumn("new", F.row_number().over(Window.orderBy("pheno_idx", "pheno")) - 1)

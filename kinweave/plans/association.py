@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from kinweave.operators.epistasis import pair_results, pair_thresholds, scan_pai
 from kinweave.sources.shared import materialize
 
 
-def gwas(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, covars: DataFrame | None = None, kinship: DataFrame | None = None, kin_samples: DataFrame | None = None, loco: bool = True, n_perm: int = 100, q: float = 0.05, seed: int = 19930909, rint: bool = True, rint_discrete: bool = True, missing_code: float | None = None, categorical: tuple[str, ...] = (), min_minor: int = 10, clump_window: int | None = None, clump: bool | None = None, clump_r2: float = 0.5, clump_p: float | None = None, rank: str = "full") -> dict[str, DataFrame]:
+def gwas(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, covars: DataFrame | None = None, kinship: DataFrame | None = None, kin_samples: DataFrame | None = None, loco: bool = True, n_perm: int = 100, q: float = 0.05, seed: int = 19930909, rint: bool = True, rint_discrete: bool = True, missing_code: float | None = None, categorical: tuple[str, ...] = (), book: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None, min_minor: int = 10, clump_window: int | None = None, clump: bool | None = None, clump_r2: float = 0.5, clump_p: float | None = None, rank: str = "full") -> dict[str, DataFrame]:
     """results (the bundle's columns), minima, thresholds, inflation and prepared phenotypes.
 
     Phenotypes are prepared over all samples of their table first (N16). Raw
@@ -19,8 +21,11 @@ def gwas(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, covars:
     their pattern of missing values, are left out. ``kin_samples`` (iid,
     sample_idx) belongs to ``kinship`` and is joined by id. ``clump_window`` 0
     means the whole genome (N10); it or ``clump`` asks for linkage groups.
+    ``choose`` picks rows of prepared phenotypes (F9); ``book`` names the levels
+    of coded texts.
     """
-    ready = materialize(prep.prepare(phenos, missing_code=missing_code, categorical=categorical, rint=rint, rint_discrete=rint_discrete, flags=True), "prepared")
+    ready = materialize(prep.prepare(phenos, missing_code=missing_code, categorical=categorical, rint=rint, rint_discrete=rint_discrete, flags=True, book=book), "prepared")
+    ready = choose(ready) if choose else ready
     phenos = ready
     tables = [t for t in (ready, covars, kin_samples) if t is not None]
     aligned = genotype.align(*tables, order=samples)
@@ -51,17 +56,18 @@ def gwas(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, covars:
         limit = F.lit(clump_p) if clump_p is not None else F.col("threshold")
         hits = rows.where(F.col("p") <= limit).select("pheno_idx", "variant_idx", "chrom", "pos", "p")
         groups = linkage.ld_groups(hits, variants, window=clump_window or None, r2=clump_r2, keep=d.places).join(names, "pheno_idx").select(F.col("pheno").alias("Pheno"), F.col("variant_idx").cast("long").alias("sid_index"), F.col("ld_group").alias("LDGroup"))
-        bundle = bundle.join(groups, ["Pheno", "sid_index"], "left")
+        bundle = bundle.join(groups, ["Pheno", "sid_index"], "left").select(*bundle.columns, "LDGroup")
     return {"results": bundle, "minima": minima, "thresholds": limits, "inflation": inflation, "scanned": rows, "phenotypes": ready}
 
 
-def extreme(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, markers: int = 5000, **options) -> dict[str, DataFrame]:
-    """B: low-rank leave-one-chromosome-out scan with evenly spaced kinship variants."""
-    panel = genotype.spaced_markers(variants.count(), markers, variants)
+def extreme(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, markers: int = 5000, grm: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """B: low-rank leave-one-chromosome-out scan with evenly spaced kinship variants, of ``grm`` (with ``kin_samples``) if given."""
+    of = variants if grm is None else grm
+    panel = genotype.spaced_markers(of.count(), markers, of)
     return gwas(variants, samples, phenos, kinship=panel, rank="low", **options)
 
 
-def gwas_epi(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, covars: DataFrame | None = None, marginals: DataFrame | None = None, marginal_thresholds: DataFrame | None = None, marginal_top_k: int = 100, maf_floor: float = 0.05, rint: bool = False, ties: str = "average", q: float = 0.05, **options) -> dict[str, DataFrame]:
+def gwas_epi(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, covars: DataFrame | None = None, marginals: DataFrame | None = None, marginal_thresholds: DataFrame | None = None, marginal_top_k: int = 100, maf_floor: float = 0.05, rint: bool = False, ties: str = "average", q: float = 0.05, choose: Callable[[DataFrame], DataFrame] | None = None, **options) -> dict[str, DataFrame]:
     """C: pairs of anchors (the best marginal variants, or all) and all variants above the frequency floor.
 
     pairs: pheno_idx, i, j, rank, f, beta, se, p; thresholds; and table, the
@@ -70,6 +76,7 @@ def gwas_epi(variants: DataFrame, samples: DataFrame, phenos: DataFrame, *, cova
     and beta; ``marginal_thresholds``: pheno_idx, threshold.
     """
     ready = prep.prepare(phenos, rint=rint, ties=ties)
+    ready = choose(ready) if choose else ready
     s = genotype.array_stats(F.col("dosage"))
     kept = variants.withColumn("freq", s["mean"] / 2).where(F.least("freq", 1 - F.col("freq")) >= maf_floor).drop("freq").persist()
     if kept.isEmpty():
