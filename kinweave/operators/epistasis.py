@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.special import f_isf, f_sf, f_sf_udf
 from kinweave.operators import linalg
+from kinweave.operators.genotype import standardise
 from kinweave.operators.kinship import assembled, chromosome_sums, dosage_matrix, fold_tiles
 from kinweave.operators.scan import Design, pack, unpack
 
@@ -24,6 +25,14 @@ def pair_masks(variants: DataFrame, window: int) -> DataFrame:
     return a.join(b, (F.col("i") < F.col("j")) & ~((F.col("ci") == F.col("cj")) & (F.abs(F.col("pi") - F.col("pj")) < window)))
 
 
+def pair_products_of(calls: DataFrame, window: int) -> DataFrame:
+    """L33 in relational form, for small panels: i, j, iid and t, the product of standardised dosages, of all pairs that the masks allow."""
+    z = standardise(calls).select("variant_idx", "chrom", "pos", "iid", "z")
+    a = z.select(F.col("variant_idx").alias("i"), F.col("chrom").alias("ci"), F.col("pos").alias("pi"), "iid", F.col("z").alias("zi"))
+    rows = a.join(z, "iid").where((F.col("variant_idx") > F.col("i")) & ~((F.col("ci") == F.col("chrom")) & (F.abs(F.col("pos") - F.col("pi")) < window)))
+    return rows.select("i", F.col("variant_idx").alias("j"), "iid", (F.col("zi") * F.col("z")).alias("t"))
+
+
 def permuted(y: np.ndarray, n_perm: int, seed: int) -> np.ndarray:
     """One generator for all columns; permutation k of phenotype p is column k * P + p."""
     n, p = y.shape
@@ -31,7 +40,7 @@ def permuted(y: np.ndarray, n_perm: int, seed: int) -> np.ndarray:
     return np.concatenate([np.take_along_axis(y, order[k], axis=0) for k in range(n_perm)], axis=1) if n_perm else np.zeros((n, 0))
 
 
-def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = None, top_k: int = 1000, p_threshold: float | None = None, n_perm: int = 0, seed: int = 19930909, window: int = 25_000, var_floor: float = 1e-8) -> DataFrame:
+def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = None, top_k: int = 1000, p_threshold: float | None = None, n_perm: int = 0, seed: int = 19930909, window: int = 25_000, var_floor: float = 1e-8, kinship: DataFrame | None = None) -> DataFrame:
     """Interactions of anchors (pheno_idx, variant_idx; all variants if None) with all variants, tile by tile.
 
     A tile is a pair of chromosomes; its kinship leaves both out, so (a, b) and
@@ -40,7 +49,8 @@ def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = No
     products with the tile's variants are rotated together and tested with the
     design [covariates, anchor]. Each task hands out the best ``top_k`` pairs of
     a phenotype, or all pairs below ``p_threshold``, and the largest F of each
-    permutation; permutations are made in the tasks.
+    permutation; permutations are made in the tasks. ``kinship``: another panel
+    of the same samples for the kinship.
     """
     spark = variants.sparkSession
     symmetric = anchors is None
@@ -51,14 +61,16 @@ def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = No
     sent, numbers, places = spark.sparkContext.broadcast(d.y), d.columns, d.places
     cut = f_isf(p_threshold, nu) if p_threshold is not None else None
     rows = variants.select(F.col("chrom").cast("string").alias("chrom"), "variant_idx", "pos", "dosage")
-    chroms = sorted(r.chrom for r in rows.select("chrom").distinct().collect())
+    # Chromosomes in the order of the variants, so the first of a pair is its anchor.
+    chroms = [r.chrom for r in rows.groupBy("chrom").agg(F.min("variant_idx").alias("first")).orderBy("first").collect()]
+    place = {c: k for k, c in enumerate(chroms)}
     if anchors is None:
         listed = rows.select("chrom", "variant_idx").withColumn("phenos", F.lit(None).cast("array<int>"))
     else:
         listed = anchors.groupBy("variant_idx").agg(F.sort_array(F.collect_set("pheno_idx")).cast("array<int>").alias("phenos")).join(rows.select("chrom", "variant_idx"), "variant_idx")
     listed = listed.persist()
     count = {r.chrom: r["count"] for r in listed.groupBy("chrom").count().collect()}
-    tiles = [(a, b, min(a, b), max(a, b), -(-count[a] // ANCHORS)) for a in sorted(count) for b in chroms if not symmetric or a <= b]
+    tiles = [(a, b, min(a, b), max(a, b), -(-count[a] // ANCHORS)) for a in sorted(count, key=place.get) for b in chroms if not symmetric or place[a] <= place[b]]
     if any(not set(chroms) - {a, b} for a, b, *_ in tiles):
         raise ValueError("a tile leaves no chromosome for the kinship")
     if not tiles:
@@ -74,7 +86,7 @@ def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = No
         return pa.table({"lo": [lo], "hi": [hi], "model": pa.array([pack(s=s, u=u, ux=ux, log_delta=linalg.plain_fit(s, ux, u.T @ columns()))], pa.binary())})
 
     folds = {f"{lo}\t{hi}": {lo, hi} for _, _, lo, hi, _ in tiles}
-    models = fold_tiles(chromosome_sums(variants, places), folds).groupBy("fold").applyInArrow(fit, "lo string, hi string, model binary").persist()
+    models = fold_tiles(chromosome_sums(variants if kinship is None else kinship, places), folds).groupBy("fold").applyInArrow(fit, "lo string, hi string, model binary").persist()
     left = listed.withColumnRenamed("chrom", "ca").join(rows.select("variant_idx", "pos", "dosage"), "variant_idx").join(plan, "ca")
     left = left.select("ca", "cb", "lo", "hi", F.pmod(F.xxhash64("variant_idx"), F.col("parts")).cast("int").alias("part"), F.col("variant_idx").alias("i"), F.col("pos").alias("pi"), F.col("dosage").alias("di"), "phenos")
     parts = left.select(F.col("ca").alias("ca_"), F.col("cb").alias("cb_"), F.col("part").alias("part_"), "lo", "hi").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.special import f_sf_sql, f_sf_udf, norm_ppf_sql
 from kinweave.operators import clump, genotype, kinship, linalg, post, prep, scan
-from kinweave.operators.epistasis import pair_masks
+from kinweave.operators.epistasis import pair_masks, pair_products_of, pair_results, scan_pairs
 from kinweave.plans import association
-from kinweave.sources import panels
-from kinweave.sources.files import MISSING_WORDS, chrom_label
+from kinweave.sources import panels, sinks
+from kinweave.sources.files import MISSING_WORDS, read_chrom_sizes
+from kinweave.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,31 +306,23 @@ def pair_mask(spark: SparkSession, d: str) -> DataFrame:
     return pair_masks(v, 3000).select("i", "j")
 
 
-PRODUCT = STD + """, prod AS (SELECT a.variant_idx AS i, b.variant_idx AS j, a.iid, a.z * b.z AS t FROM std a JOIN std b USING (iid) WHERE a.variant_idx < 5 AND b.variant_idx > a.variant_idx AND NOT (a.chrom = b.chrom AND abs(a.pos - b.pos) < 3000)),
+PRODUCT = STD + """, prod AS (SELECT a.variant_idx AS i, b.variant_idx AS j, a.iid, a.z * b.z AS t FROM std a JOIN std b USING (iid) WHERE b.variant_idx > a.variant_idx AND NOT (a.chrom = b.chrom AND abs(a.pos - b.pos) < 3000)),
 ps AS (SELECT *, (t - avg(t) OVER w) / nullif(stddev_pop(t) OVER w, 0) AS z FROM prod WINDOW w AS (PARTITION BY i, j))"""
 
 
-def _products(spark: SparkSession, d: str) -> DataFrame:
-    z = genotype.standardise(panels.dosages(_events(spark, d))).select("variant_idx", "chrom", "pos", "iid", "z")
-    a = z.where("variant_idx < 5").select(F.col("variant_idx").alias("i"), F.col("chrom").alias("ci"), F.col("pos").alias("pi"), "iid", F.col("z").alias("zi"))
-    rows = a.join(z, "iid").where((F.col("variant_idx") > F.col("i")) & ~((F.col("ci") == F.col("chrom")) & (F.abs(F.col("pos") - F.col("pi")) < 3000)))
-    rows = rows.select("i", F.col("variant_idx").alias("j"), "iid", (F.col("zi") * F.col("z")).alias("t"))
-    w = Window.partitionBy("i", "j")
-    return rows.withColumn("z", (F.col("t") - F.avg("t").over(w)) / F.nullif(F.stddev_pop("t").over(w), F.lit(0.0)))
-
-
 @query(PRODUCT + " SELECT i, j, count(*) AS n, round(avg(t), 6) + 0.0 AS mean, round(var_pop(t), 6) AS variance FROM prod GROUP BY ALL")
 def pair_products(spark: SparkSession, d: str) -> DataFrame:
-    """Products of standardised dosages of anchors and tests."""
-    return _products(spark, d).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean"), F.var_pop("t").alias("variance")).select("i", "j", "n", r6("mean"), r6("variance"))
+    """Products of standardised dosages of all pairs."""
+    rows = pair_products_of(panels.dosages(_events(spark, d)), 3000)
+    return rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean"), F.var_pop("t").alias("variance")).select("i", "j", "n", r6("mean"), r6("variance"))
 
 
 @query(PRODUCT + """, fit AS (SELECT i, j, pheno_idx, regr_r2(value, z) AS r2, count(*) AS n FROM ps JOIN panel_pheno USING (iid) GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY pheno_idx ORDER BY round(r2, 9) DESC, i, j) AS INTEGER) AS rank FROM fit WHERE r2 IS NOT NULL) SELECT pheno_idx, rank, i, j, round(r2, 6) AS r2 FROM r WHERE rank <= 20""")
 def pair_topk_ols(spark: SparkSession, d: str) -> DataFrame:
     """W7, W8 on pairs."""
-    rows = _products(spark, d).join(panels.phenotypes(_events(spark, d)).select("iid", "pheno_idx", "value"), "iid")
-    fit = rows.groupBy("i", "j", "pheno_idx").agg(F.regr_r2("value", "z").alias("r2")).where("r2 IS NOT NULL").withColumn("order", -F.round("r2", 9))
+    rows = pair_products_of(panels.dosages(_events(spark, d)), 3000).join(panels.phenotypes(_events(spark, d)).select("iid", "pheno_idx", "value"), "iid")
+    fit = rows.groupBy("i", "j", "pheno_idx").agg(F.regr_r2("value", "t").alias("r2")).where("r2 IS NOT NULL").withColumn("order", -F.round("r2", 9))
     return post.top_hits(fit, 20, by=("order", "i", "j")).select("pheno_idx", "rank", "i", "j", r6("r2"))
 
 
@@ -342,8 +336,10 @@ def manhattan_layout(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(chrom AS VARCHAR) AS chrom, CAST(max(pos) AS DOUBLE) AS length FROM panel_dosage GROUP BY ALL")
 def chrom_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Labels written as '1.0' read '1'."""
-    p = panels.dosages(_events(spark, d)).withColumn("c", F.concat(F.col("chrom").cast("string"), F.lit(".0")))
-    return p.groupBy(chrom_label(F.col("c")).alias("chrom")).agg(F.max("pos").cast("double").alias("length"))
+    p = panels.dosages(_events(spark, d)).groupBy("chrom").agg(F.max("pos").alias("length"))
+    path = f"{shared_dir(spark)}/sizes-{uuid.uuid4().hex}"
+    p.select(F.concat(F.col("chrom").cast("string"), F.lit(".0\t"), F.col("length").cast("string")).alias("value")).write.text(path)
+    return read_chrom_sizes(spark, path).select("chrom", "length")
 
 
 @query(", v AS (SELECT DISTINCT variant_idx FROM panel_dosage) SELECT variant_idx FROM (SELECT *, row_number() OVER (ORDER BY variant_idx) - 1 AS k FROM v) WHERE k % 4 = 1")
@@ -363,10 +359,11 @@ def spaced_markers(spark: SparkSession, d: str) -> DataFrame:
 @query(OLS + " SELECT pheno, count(*) AS n, round(min(p), 6) AS least FROM ols GROUP BY ALL")
 def bundle_union(spark: SparkSession, d: str) -> DataFrame:
     """Shards of a bundle together again."""
-    rows = _ols(spark, d)
-    shards = [rows.where(F.col("pheno_idx") % 3 == i) for i in range(3)]
-    both = shards[0].unionByName(shards[1]).unionByName(shards[2])
-    return both.groupBy("pheno").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("p"), 6).alias("least"))
+    rows = _ols(spark, d).select(F.col("pheno").alias("Pheno"), F.col("p").alias("PValue"), "pheno_idx").persist()
+    paths = [f"{shared_dir(spark)}/shard{i}-{uuid.uuid4().hex}" for i in range(3)]
+    for i, path in enumerate(paths):
+        sinks.write_bundle(rows.where(F.col("pheno_idx") % 3 == i), path)
+    return sinks.merge_bundles(spark, paths).groupBy(F.col("Pheno").alias("pheno")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("PValue"), 6).alias("least"))
 
 
 @query(""" SELECT user_id % 7 AS run, sum(event_id % 10) AS done, CAST(count(*) * 10 AS BIGINT) AS total, round(max(value), 6) AS elapsed, bool_and(event_type = 'click') AS all_done, count(*) AS shards FROM events GROUP BY ALL""")
@@ -376,6 +373,59 @@ def status_rollup(spark: SparkSession, d: str) -> DataFrame:
     return post.status_rollup(e).select("run", "done", "total", r6("elapsed"), "all_done", "shards")
 
 
+# A kinship panel that does not vary gives a kinship of 0, under which the mixed models are ordinary regressions: the whole
+# machinery of sums, folds, spectra, fits and tests runs, and SQL can check it.
+FLAT = " SELECT variant_idx, pheno_idx, round(f, 4) AS f, round(beta, 5) + 0.0 AS beta, round(se, 5) AS se, round(p, 5) AS p FROM ols"
+
+
+def _flat(variants: DataFrame) -> DataFrame:
+    return variants.withColumn("dosage", F.transform("dosage", lambda x: F.lit(1.0)))
+
+
+def _unstructured(spark: SparkSession, d: str, rank: str, **options) -> DataFrame:
+    v, s, p = _inputs(spark, d)
+    v = v.persist()
+    rows = scan.results(scan.scan(v, scan.design(s, p), kinship=_flat(v), rank=rank, **options))
+    return rows.select("variant_idx", "pheno_idx", r6("f", 4), r6("beta", 5), r6("se", 5), r6("p", 5))
+
+
+@query(OLS + FLAT)
+def scan_unstructured(spark: SparkSession, d: str) -> DataFrame:
+    """L3-L4, L10-L18 without structure: the leave-one-chromosome-out scan."""
+    return _unstructured(spark, d, "full")
+
+
+@query(OLS + FLAT)
+def scan_single_unstructured(spark: SparkSession, d: str) -> DataFrame:
+    """L12, L18 without structure: one kinship for all chromosomes, with permutations."""
+    return _unstructured(spark, d, "full", loco=False, n_perm=3)
+
+
+@query(OLS + FLAT)
+def scan_plain_unstructured(spark: SparkSession, d: str) -> DataFrame:
+    """L5-L11, N13 without structure: covariates kept in the basis, restricted likelihood."""
+    return _unstructured(spark, d, "plain", reml=True)
+
+
+@query(OLS + FLAT)
+def scan_lowrank_unstructured(spark: SparkSession, d: str) -> DataFrame:
+    """L20-L26, N12 without structure: a factor of no rank."""
+    return _unstructured(spark, d, "low")
+
+
+@query(PRODUCT + f""", y AS (SELECT iid, pheno_idx, value FROM panel_pheno),
+cors AS (SELECT p.i, p.j, y.pheno_idx, count(*) AS n, corr(y.value, a.z) AS ya, corr(y.value, p.t) AS yt, corr(a.z, p.t) AS zt FROM prod p JOIN std a ON a.variant_idx = p.i AND a.iid = p.iid JOIN y ON y.iid = p.iid GROUP BY ALL HAVING var_pop(p.t) > 1e-8),
+part AS (SELECT *, CAST(n - 3 AS DOUBLE) AS nu, pow(yt - ya * zt, 2) / ((1 - ya * ya) * (1 - zt * zt)) AS r2 FROM cors WHERE 1 - zt * zt > 0.01),
+ff AS (SELECT *, nu * r2 / (1 - r2) AS f FROM part), pp AS (SELECT *, {f_sf_sql("f", "nu")} AS p FROM ff)
+SELECT pheno_idx, i, j, round(f, 4) AS f, round(p, 5) AS p FROM pp WHERE p < 0.05""")
+def epi_unstructured(spark: SparkSession, d: str) -> DataFrame:
+    """L33-L36, F13, F14, N14 without structure: all pairs of all variants below a p-value, for every phenotype."""
+    v, s, p = _inputs(spark, d)
+    v = v.persist()
+    rows = pair_results(scan_pairs(v, scan.design(s, p), p_threshold=0.05, window=3000, kinship=_flat(v)))
+    return rows.select("pheno_idx", "i", "j", r6("f", 4), r6("p", 5))
+
+
 # Beyond SQL: decompositions and random permutations. Tests compare them with independent dense computations.
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = _events(spark, d)

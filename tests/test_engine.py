@@ -149,7 +149,7 @@ def test_layout_and_merge(spark, tmp_path):
     assert files.read_status(spark, str(tmp_path / "s.json")).first().state == "done"
 
 
-@pytest.mark.parametrize("name", ["variant_stats", "rint", "ols_pvalue", "lambda_gc", "ld_pairs", "na_groups", "text_codes", "one_vs_rest"])
+@pytest.mark.parametrize("name", ["scan_unstructured", "scan_plain_unstructured", "scan_lowrank_unstructured", "epi_unstructured", "pair_topk_ols", "bundle_union", "chrom_sizes", "variant_stats", "rint", "ols_pvalue", "lambda_gc", "ld_pairs", "na_groups", "text_codes", "one_vs_rest"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "embeddings", "customer"):
@@ -181,3 +181,113 @@ def test_all_anchors_reach_all_variants_and_phenotypes(spark):
     print(len(rows), len({(r.i, r.j) for r in rows}))
     assert min(r.i for r in rows) < 30 < 90 < max(r.j for r in rows) and max(r.i for r in rows) >= 30
     assert len({r.pheno_idx for r in rows}) > 1 and len({(r.pheno_idx, r.i, r.j) for r in rows}) == len(rows)
+
+
+def test_whole_genome_window_and_missing_calls(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, 120).astype(float)
+    gaps = [None if j % 7 == 0 else float(v) for j, v in enumerate(x)]
+    rows = [(0, 1, 100, x.tolist()), (1, 2, 500_000, gaps), (2, 3, 100, x.tolist()), (3, 1, 120, rng.integers(0, 3, 120).astype(float).tolist()), (4, 1, 130, [1.0] * 120)]
+    v = spark.createDataFrame(rows, "variant_idx int, chrom int, pos int, dosage array<double>")
+    hits = v.select(F.lit(0).alias("pheno_idx"), "variant_idx", "chrom", "pos", (F.lit(0.01) + F.col("variant_idx") / 1000).alias("p"))
+    assert {r.variant_idx: r.ld_group for r in clump.ld_groups(hits, v, window=None, r2=0.5).collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3}
+    assert len({r.ld_group for r in clump.ld_groups(hits, v, window=1000, r2=0.5).collect()}) == 5
+    few = clump.ld_groups(hits, v, window=None, r2=0.5, keep=np.arange(60)).collect()
+    assert len(few) == 5
+
+
+def test_cells_change_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    d = rng.integers(0, 3, (40, 80)).astype(float)
+    d[1::3] = d[::3][: len(d[1::3])]
+    v = spark.createDataFrame([(i, i // 20 + 1, 37 * i, d[i].tolist()) for i in range(40)], "variant_idx int, chrom int, pos int, dosage array<double>")
+    hits = v.select(F.lit(0).alias("pheno_idx"), "variant_idx", "chrom", "pos", F.lit(0.01).alias("p"))
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 20 == b // 20 and 37 * (b - a) <= 300}
+    r2 = {(a, b): np.corrcoef(d[a], d[b])[0, 1] ** 2 for a, b in want}
+    for cell in (256, 3):
+        monkeypatch.setattr(clump, "CELL", cell)
+        got = {(r.a, r.b): r.r2 for r in clump.ld_pairs(hits, v, 300).collect()}
+        assert set(got) == want and all(abs(got[k] - r2[k]) < 1e-9 for k in want)
+
+
+def test_preparation_guards(spark):
+    rows = [(f"s{j}", 0, "cont", -9.0 if j == 3 else j / 7) for j in range(12)] + [(f"s{j}", 1, "disc", [0.0, 1.0, -9.0][j % 3]) for j in range(12)]
+    p = spark.createDataFrame(rows, "iid string, pheno_idx int, pheno string, value double")
+    assert prep.prepare(p).count() == 24  # all are rank-normalised
+    assert prep.prepare(p.where("pheno_idx = 0"), rint=False).count() == 12  # continuous
+    for bad in ({"rint": False}, {"rint_discrete": False}, {"categorical": ("disc",), "rint": False}):
+        if "categorical" in bad:
+            assert set(r.pheno for r in prep.prepare(p, missing_code=-9, **bad).select("pheno").distinct().collect()) == {"cont", "disc__lvl1"}
+            continue
+        with pytest.raises(ValueError, match="disc"):
+            prep.prepare(p, **bad).count()
+        assert prep.prepare(p, missing_code=-9.0, **bad).where("value IS NULL").count() == 5
+    with pytest.raises(ValueError):
+        prep.prepare(p, categorical=("nothing",))
+
+
+def test_degenerate_only_if_raw(spark, inputs):
+    from kinweave.plans import association
+
+    variants, samples, phenos, *_ = inputs
+    rare = samples.select("iid", F.lit(9).alias("pheno_idx"), F.lit("rare").alias("pheno"), F.when(F.col("sample_idx") < 3, 1.0).otherwise(0.0).alias("value"))
+    both = phenos.where("pheno_idx = 0").unionByName(rare)
+    names = lambda **o: {r.Pheno for r in association.gwas(variants, samples, both, n_perm=2, **o)["results"].select("Pheno").distinct().collect()}
+    assert names() == {"p0", "rare"} and names(rint_discrete=False) == {"p0"}
+
+
+def test_chunks_and_lanes_change_nothing(spark, inputs, monkeypatch):
+    variants, samples, phenos, *_ = inputs
+    d = scan.design(samples, phenos)
+    for rank in ("full", "low", "plain"):
+        monkeypatch.setattr(scan, "COLUMNS", 4096)
+        one = scan.scan(variants, d, n_perm=3, rank=rank)
+        a, b = scan.results(one).toPandas(), scan.permutation_minima(one).toPandas()
+        monkeypatch.setattr(scan, "COLUMNS", 4)
+        monkeypatch.setattr(scan, "LANES", 2)
+        two = scan.scan(variants, d, n_perm=3, rank=rank)
+        c, e = scan.results(two).toPandas(), scan.permutation_minima(two).toPandas()
+        for x, z, keys, col in ((a, c, ["variant_idx", "pheno_idx"], "p"), (b, e, ["pheno_idx", "perm"], "min_p")):
+            assert np.allclose(x.sort_values(keys)[col], z.sort_values(keys)[col], rtol=1e-6)
+
+
+def test_tiles_of_kinship(spark, inputs, monkeypatch):
+    from kinweave.operators import kinship
+
+    variants, _, _, dosage, *_ = inputs
+    z, chrom = linalg.standardise(dosage), np.arange(24) // 8 + 1
+    for tile in (512, 7):
+        monkeypatch.setattr(kinship, "TILE", tile)
+        rows = kinship.fold_tiles(kinship.chromosome_sums(variants), {"2": {"2"}, "all": set()}).toArrow()
+        for fold, out in (("2", 2), ("all", 0)):
+            own = rows.filter(F_equal(rows, fold))
+            k = kinship.assembled(own, 36)
+            assert np.allclose(k, z[chrom != out].T @ z[chrom != out] / (chrom != out).sum())
+
+
+def F_equal(table, fold):
+    import pyarrow.compute as pc
+
+    return pc.equal(table.column("fold"), fold)
+
+
+def test_simulated_panel_and_streams(spark, tmp_path):
+    from kinweave.functions import special
+    from kinweave.sources import simulate
+    from kinweave.streaming import rollup
+
+    v, s, p = simulate.sim_gwas(spark, 60, 40, n_causal=4, h2=0.8)
+    assert v.count() == 40 and p.agg(F.var_pop("value")).first()[0] > 0.5
+    scanned = scan.results(scan.scan(v, scan.design(s, p)))
+    assert scanned.count() == 40
+    out = scanned.select(F.lit("sim").alias("Pheno"), F.col("p").alias("PValue"), (F.col("p") < 0.05).alias("significant"))
+    out.write.parquet(str(tmp_path / "b"))
+    live = rollup.bundle_progress(spark, str(tmp_path / "b"), out.schema).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
+    live.awaitTermination(120)
+    row = spark.table("live").first()
+    assert (row.rows, row.hits) == (40, out.where("significant").count())
+    special.register(spark)
+    got = spark.sql("SELECT f_sf(4.0D, 20.0D) AS a, f_isf(0.05D, 20.0D) AS b, norm_ppf(0.975D) AS c, chi2_isf(0.05D) AS d").first()
+    assert got.a == pytest.approx(0.0593, abs=1e-3) and got.b == pytest.approx(4.3512, abs=1e-3) and got.c == pytest.approx(1.95996, abs=1e-4) and got.d == pytest.approx(3.8415, abs=1e-3)
+    events = spark.createDataFrame([(1.0, "a", "x"), (2.0, "a", "x"), (30.0, "a", "x"), (31.0, "b", "x")], "ts double, stage string, state string")
+    assert [(r.ts, r.stage) for r in post.recent_events(events, 2).collect()] == [(31.0, "b"), (30.0, "a")]

@@ -97,3 +97,16 @@ def test_randomised_eigenvalues(panel):
     lam, u = linalg.randomized_eigh(z, rank=10, oversample=20)
     exact = np.sort(np.linalg.eigvalsh(z @ z.T / z.shape[1]))[::-1][:10]
     assert np.allclose(lam, exact, rtol=1e-3) and np.allclose(u.T @ u, np.eye(10), atol=1e-9)
+
+
+def test_projected_loss_is_the_dense_one():
+    rng = np.random.default_rng(8)
+    g = rng.normal(size=(25, 60))
+    k, x, y = g @ g.T / 60, np.column_stack([np.ones(25), rng.normal(size=25)]), rng.normal(size=(25, 2))
+    spec = linalg.projected_spectrum(k, x)
+    uy, off = linalg.rotated(spec, y)
+    for ld in (-3.0, 0.0, 2.5):
+        got = linalg.loss(np.full(2, ld), spec.s, uy * uy, off, spec.rest)
+        want = [linalg.dense_loss(ld, k, x, y[:, j]) for j in range(2)]
+        assert np.allclose(got - got[0], np.array(want) - want[0], atol=1e-8)
+        assert np.allclose(got, want, atol=1e-8)
