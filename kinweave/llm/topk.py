@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm.storage import materialize
+
 SCALE = 256
 BINS = 256
 #: Bounds what the driver holds and broadcasts at a time: queries times components times 8 bytes.
@@ -149,7 +151,9 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
         names = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(block.ids), dtype=np.int32), "query_id": block.ids}))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
         top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out.append(top.join(F.broadcast(names), "q").select("query_id", "rank", F.col("id").alias(id_col), "score"))
+        top = top.join(F.broadcast(names), "q").select("query_id", "rank", F.col("id").alias(id_col), "score")
+        # Blocks after each other: a finished one is a table of k rows a query, not a plan that is carried on.
+        out.append(top if blocks == 1 else materialize(top, "topk"))
     while len(out) > 1:
         out = [a.unionByName(b) for a, b in zip(out[::2], out[1::2], strict=False)] + ([out[-1]] if len(out) % 2 else [])
     return out[0] if out else empty

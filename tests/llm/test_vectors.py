@@ -37,6 +37,14 @@ def test_exact_search_matches_brute_force(table):
     assert got == want
 
 
+def test_blocks_of_queries_change_nothing(table, monkeypatch):
+    _, df = table
+    rows = lambda: sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
+    want = rows()
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    assert rows() == want
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [-1e6, 3.0])], "vec_id long, embedding array<float>")
     for search in (topk.search, neighbours.nearest):
