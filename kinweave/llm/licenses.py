@@ -1,7 +1,12 @@
 """License scans by an exact set-similarity join. DataFrame functions only.
 
-A text's lines are its blocks. A block meets a template if it holds at least
-``THRESHOLD`` of the template's distinct words. The join is exact:
+A text's paragraphs (parts between blank lines) are its blocks, so a notice
+wrapped over several lines is one. A block meets a template of n distinct words
+if some ``WINDOW`` * n words in a row hold at least ``THRESHOLD`` of them, all
+of those that tell the template from a similar one of another license, and none
+of those that the similar one has instead (CC BY-NC is neither CC BY nor CC
+BY-SA). So a long block that merely holds the words here and there is none. The
+join is exact:
 
 * tokens are ordered globally, rarest first, by the number of documents of the
   whole input that hold them;
@@ -11,7 +16,7 @@ A text's lines are its blocks. A block meets a template if it holds at least
 * length filter: a block of fewer than o words cannot meet the template;
 * positional filter: the words that can still be shared after the place of a
   common prefix word must reach o;
-* what is left is verified on the full sets.
+* what is left is verified on the full sets, then window by window.
 
 The table of templates is a constant of this module, so it is broadcast, and
 the counts that come to the driver are one per template word.
@@ -34,6 +39,9 @@ from pyspark.sql import functions as F
 #: Words after lower-casing, as a pattern for both engines.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+WINDOW = 2
+#: What parts blocks, as a pattern for both engines.
+GAP = r"\n[\x09\x0D\x20]*\n"
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -96,6 +104,20 @@ def _spaces(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def deciding_words() -> dict[int, tuple[list[str], list[str]]]:
+    """For each template the words it must have and must not have, from those of other licenses that share ``THRESHOLD`` of its or their own words."""
+    rows, out = _template_rows(), {}
+    for i, label, words in rows:
+        must, not_ = set(), set()
+        for _, other, theirs in rows:
+            shared = len(set(words) & set(theirs))
+            if other != label and shared >= THRESHOLD * min(len(words), len(theirs)):
+                must |= set(words) - set(theirs) if len(set(words) - set(theirs)) <= len(words) / 4 else set()
+                not_ |= set(theirs) - set(words) if len(set(theirs) - set(words)) <= len(theirs) / 4 else set()
+        out[i] = sorted(must), sorted(not_)
+    return out
+
+
 def base_columns(norm: Column) -> dict[str, Column]:
     """Of ' word word ... ': places, first and last start and label of each phrase."""
     n, first, last, labels = [], [], [], []
@@ -118,14 +140,15 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     index = prefix_index(order, threshold)
     starts = F.array(*map(F.lit, sorted({r[0] for r in index})))
     known = F.array(*map(F.lit, order))
-    templates = spark.createDataFrame(index, "token string, template int, label string, place int, n int, need int, words array<string>")
+    telling = deciding_words()
+    templates = spark.createDataFrame([(*r, *telling[r[1]]) for r in index], "token string, template int, label string, place int, n int, need int, words array<string>, must array<string>, must_not array<string>")
 
-    # One pass over the texts: words once a text; only lines with a prefix word go on.
+    # One pass over the texts: words once a text; only blocks with a prefix word go on.
     docs = docs.select(F.col(id_col).alias("i"), lowered(F.col(text_col)).alias("low"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "i", "low", words_of(F.col("low")).alias("words"))
     phrase = F.contains("low", F.lit("license")) | F.col("low").rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
     norm = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    some = F.filter(F.split("low", "\n"), lambda line: F.arrays_overlap(words_of(line), starts))
+    some = F.filter(F.split("low", GAP), lambda line: F.arrays_overlap(words_of(line), starts))
     none = F.lit(None)
     docs = docs.select(
         "row",
@@ -148,7 +171,18 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     earlier = F.size(F.array_intersect(F.slice("held", F.lit(1), F.col("held_at")), F.col("words")))
     # Each pair of a block and a template counts at its first common word only, where the positional bound holds.
     good = (F.col("n_tokens") >= F.col("need")) & (earlier == 0) & (could >= F.col("need")) & (shared >= F.col("need"))
-    met = met.withColumn("share", F.when(good, shared / F.col("n")))
+    # Windows begin at a word of the template; only blocks that hold enough of it come here.
+    seq = words_of(F.col("line"))
+    starts_at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(seq), F.lit(1))), lambda k: F.array_contains(F.col("words"), F.get(F.col("seq"), k - 1)))
+
+    def in_window(k: Column) -> Column:
+        part = F.slice(F.col("seq"), k, F.lit(WINDOW) * F.col("n"))
+        held = F.size(F.array_intersect("words", part))
+        told = (F.size(F.array_intersect("must", part)) == F.size("must")) & ~F.arrays_overlap("must_not", part)
+        return F.when((held >= F.col("need")) & told, held).otherwise(0)
+
+    met = met.withColumn("seq", F.when(good, seq)).withColumn("best", F.array_max(F.transform(starts_at, in_window)))
+    met = met.withColumn("share", F.when(F.col("best") > 0, F.col("best") / F.col("n")))
     if blocks:
         return met.where("share is not null").select(F.col("i").alias(id_col), "block", "line", "label", "template", "share")
     out = met.groupBy("row").agg(
@@ -163,19 +197,23 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def oracle_sql() -> str:
-    """The same results by comparing every line with every template."""
-    values = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in words)}], {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))})" for i, label, words in _template_rows())
+    """The same results by comparing every block with every template."""
+    listed = lambda words: f"[{', '.join(repr(w) for w in words)}]::VARCHAR[]"
+    telling = deciding_words()
+    values = ", ".join(f"({i}, '{label}', {listed(words)}, {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))}, {listed(telling[i][0])}, {listed(telling[i][1])})" for i, label, words in _template_rows())
     base = ", ".join(f"('{label}', [{', '.join(repr(w) for w in phrase.split())}])" for phrase, label in PHRASES.items())
     return rf"""
-WITH templates(template, label, words, need) AS (VALUES {values}),
+WITH templates(template, label, words, need, must, must_not) AS (VALUES {values}),
 phrases(label, words) AS (VALUES {base}),
 docs AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 worded AS (SELECT row, doc_id, low, regexp_extract_all(low, '{WORD}') AS words FROM docs),
-lines AS (SELECT row, unnest(string_split(low, chr(10))) AS line FROM docs),
-sets AS (SELECT row, list_distinct(regexp_extract_all(line, '{WORD}')) AS held FROM lines),
+blocks AS (SELECT row, unnest(string_split_regex(low, '{GAP}')) AS block FROM docs),
+sets AS (SELECT row, regexp_extract_all(block, '{WORD}') AS seq FROM blocks),
+near AS (SELECT s.row, s.seq, t.* FROM sets s, templates t WHERE len(list_intersect(t.words, s.seq)) >= t.need),
+parts AS (SELECT row, label, words, need, must, must_not, unnest(list_transform(range(1, len(seq) + 1), lambda k: seq[k : k + {WINDOW} * len(words) - 1])) AS part FROM near),
 met AS (
-  SELECT s.row, t.label, len(list_intersect(t.words, s.held)) / len(t.words) AS share
-  FROM sets s, templates t WHERE len(list_intersect(t.words, s.held)) >= t.need),
+  SELECT row, label, len(list_intersect(words, part)) / len(words) AS share FROM parts
+  WHERE len(list_intersect(words, part)) >= need AND len(list_intersect(must, part)) = len(must) AND len(list_intersect(must_not, part)) = 0),
 own AS (SELECT row, list(DISTINCT label) AS own, max(share) AS share FROM met GROUP BY row),
 places AS (
   SELECT w.row, p.label, unnest(range(0, len(w.words) - len(p.words) + 1)) AS pos, w.words AS have, p.words AS want

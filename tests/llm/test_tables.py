@@ -43,6 +43,28 @@ def test_license_labels(spark, docs):
     assert licenses.scan_licenses(none).count() == 0 and mixing.mix_sources(none).count() == 0
 
 
+NOTICES = [
+    "# This program is free software: you can\n# redistribute it and/or modify it\n# under the terms of the GNU General\n# Public License as published",
+    "Licensed under CC BY-NC 4.0.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY 4.0.",
+    "licensed " + "word " * 40 + "under cc by 4 " + "more " * 40 + "0",
+    "Permission is hereby granted, free of charge,\nto any person obtaining a copy\n\nof this software and associated documentation files",
+    "This library is free software; you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License",
+    "Licensed under the Apache License,\n   Version 2.0 (the License);",
+]
+
+
+def test_wrapped_and_similar_notices(spark):
+    rows = [(i, t, "s") for i, t in enumerate(NOTICES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(df).collect()}
+    own = [[x for x in got[i] if x and x[0].isupper()] for i in range(len(rows))]
+    assert own == [["GPL-3.0"], ["CC-BY-NC-4.0"], ["CC-BY-SA-4.0"], ["CC-BY-4.0"], [], [], ["LGPL-3.0"], ["Apache-2.0"]]
+    columns, want = _oracle(licenses.oracle_sql(), rows)
+    assert sorted((tuple(r) for r in licenses.scan_licenses(df).select(*columns).collect()), key=repr) == want
+
+
 def test_mix_meets_targets(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     rows = mixing.mix_sources(df).collect()
