@@ -291,3 +291,20 @@ def test_simulated_panel_and_streams(spark, tmp_path):
     assert got.a == pytest.approx(0.0593, abs=1e-3) and got.b == pytest.approx(4.3512, abs=1e-3) and got.c == pytest.approx(1.95996, abs=1e-4) and got.d == pytest.approx(3.8415, abs=1e-3)
     events = spark.createDataFrame([(1.0, "a", "x"), (2.0, "a", "x"), (30.0, "a", "x"), (31.0, "b", "x")], "ts double, stage string, state string")
     assert [(r.ts, r.stage) for r in post.recent_events(events, 2).collect()] == [(31.0, "b"), (30.0, "a")]
+
+
+def _events_at(spark, path, rows):
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_maf_filter_may_keep_nothing(spark, tmp_path):
+    d = _events_at(spark, tmp_path, [(i, i, "view", 1.0, '{"k": 3}') for i in range(5)] + [(9, 0, "view", 1.0, '{"k": 4}')])
+    got = catalog.QUERIES["maf_filter"](spark, d)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{d}/events.parquet/*.parquet'")
+    assert len(got.collect()) == len(con.sql(catalog.SQL["maf_filter"]).fetchall()) == 1
+    got = catalog.QUERIES["maf_filter"](spark, _events_at(spark, tmp_path / "none", [(i, i, "view", 1.0, '{"k": 3}') for i in range(1)] + [(i, i, "view", 1.0, '{"k": 4}') for i in range(1, 9)] + [(i, i % 9, "view", 1.0, '{"k": 4}') for i in range(9, 18)]))
+    assert got.collect() == []
+    with pytest.raises(ValueError):
+        genotype.maf_filter(spark.createDataFrame([(0, 1, 1000, 0)], "variant_idx int, chrom int, pos int, dosage int"))
