@@ -308,3 +308,18 @@ def test_maf_filter_may_keep_nothing(spark, tmp_path):
     assert got.collect() == []
     with pytest.raises(ValueError):
         genotype.maf_filter(spark.createDataFrame([(0, 1, 1000, 0)], "variant_idx int, chrom int, pos int, dosage int"))
+
+
+def test_ties_of_the_rounding_hold_whatever_the_order_of_sums(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for u in range(60):  # every mean is exactly 52.5, a tie of round(value / 5)
+        n = int(rng.integers(7, 30))
+        cents = rng.integers(0, 10_000, n - 1)
+        cents = np.append(cents, 5250 * n - cents.sum())
+        rows += [(len(rows) + k, u, "view", int(c) / 100, '{"k": 1}') for k, c in enumerate(cents)]
+    rows += [(len(rows) + u, 100 + u, "view", 30.0, '{"k": 1}') for u in range(4)]
+    d = _events_at(spark, tmp_path, rows)
+    ranks = {r.iid: r.rank for r in catalog.QUERIES["rint_rank"](spark, d).collect()}
+    assert {ranks[u] for u in range(60)} == {34.5} and {ranks[100 + u] for u in range(4)} == {2.5}
+    assert len({r.value for r in catalog.QUERIES["rint"](spark, d).collect()}) == 2
