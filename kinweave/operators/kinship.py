@@ -96,6 +96,12 @@ def fold_tiles(sums: DataFrame, folds: dict[str, set[str]]) -> DataFrame:
     return sums.groupBy("i", "j").applyInArrow(subtract, "fold string, i int, j int, k binary")
 
 
+def fold_factors(panel: DataFrame, folds: dict[str, set[str]]) -> DataFrame:
+    """fold, chrom, variant_idx, dosage: the variants of each fold's kinship, given the chromosomes that it leaves out."""
+    plan = panel.sparkSession.createDataFrame([(f, sorted(c)) for f, c in folds.items()], "fold string, out array<string>")
+    return panel.select(F.col("chrom").cast("string").alias("chrom"), "variant_idx", "dosage").join(F.broadcast(plan), F.expr("NOT array_contains(out, chrom)"))
+
+
 def assembled(table: pa.Table, n: int) -> np.ndarray:
     """The whole matrix of a fold from its tiles."""
     out = np.empty((n, n))

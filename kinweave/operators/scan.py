@@ -3,7 +3,9 @@
 One plan for every variant of the method:
 
 1. spectra: for each fold (a chromosome left out, or one for all) and each
-   pattern of missing values, one task decomposes the kinship;
+   pattern of missing values, one task decomposes the kinship: the matrix of
+   samples, or, of fewer variants than samples, their factor, whose singular
+   vectors are the matrix's and leave only directions of eigenvalue 0;
 2. fit: columns, that is phenotypes and their permutations, come in chunks of
    about ``COLUMNS``, chunks in a few lanes; a task fits delta for the chunks
    of one fold and lane;
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.special import f_sf, f_sf_udf
 from kinweave.operators import linalg
-from kinweave.operators.kinship import assembled, chromosome_sums, dosage_matrix, fold_tiles
+from kinweave.operators.kinship import assembled, chromosome_sums, dosage_matrix, fold_factors, fold_tiles
 
 BLOCK, COLUMNS, LANES = 1024, 4096, 8
+#: Numbers of the columns of a chunk (64 MB), which holds fewer columns where samples are many.
+CELLS = 1 << 23
 RESULT = "kind int, variant_idx int, pheno_idx int, perm int, f double, beta double, se double, sfve double, nullh2 double, p double, effect double"
 
 
@@ -45,6 +49,35 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return dict(np.load(io.BytesIO(blob)))
 
 
+def coded(dosage: np.ndarray) -> np.ndarray:
+    """Whole dosages in a byte each, missing as -1; others as they are."""
+    called = np.isfinite(dosage)
+    codes = np.where(called, dosage, -1).astype(np.int8)
+    return codes if np.array_equal(np.where(called, codes, 0), np.where(called, dosage, 0)) and not (codes[called] < 0).any() else dosage
+
+
+def opened(blob: bytes, x: np.ndarray, plain: bool) -> dict[str, np.ndarray]:
+    """Arrays of a fold's model: s, u, rest and, of the plain path, ux. A factor travels as dosages and v, from which u is made again."""
+    m = unpack(blob)
+    if "codes" in m:
+        codes = m.pop("codes")
+        z = linalg.standardise(np.where(codes < 0, np.nan, codes) if codes.dtype == np.int8 else codes).T
+        m["u"] = (z if plain else z - x @ (np.linalg.pinv(x) @ z)) @ m.pop("v")
+        m["rest"] = np.array(len(x) - len(m["s"]) - (0 if plain else x.shape[1]))
+    if plain:
+        m["ux"] = m["u"].T @ x
+    return m
+
+
+def factor_model(table: pa.Table, places: np.ndarray, x: np.ndarray, plain: bool) -> bytes:
+    """Model of a fold from its variants, fewer than samples: K = z z' / M has the singular vectors of z, whose other eigenvalues are 0."""
+    order = np.argsort(table.column("variant_idx").to_numpy())
+    dosage = dosage_matrix(table.column("dosage").combine_chunks(), places)[order]
+    z = linalg.standardise(dosage).T
+    s, v = linalg.factor_basis(z if plain else z - x @ (np.linalg.pinv(x) @ z))
+    return pack(s=s + (linalg.RIDGE if plain else 0), v=v, codes=coded(dosage))
+
+
 @dataclass
 class Design:
     """Phenotypes (samples x P, NaN is missing) with their column numbers, covariates with the intercept first, and the samples' places in the dosage arrays; ``kin_places`` in those of another kinship panel."""
@@ -132,24 +165,25 @@ def _scan_pattern(variants: DataFrame, panel: DataFrame, d: Design, keep: np.nda
     kin_places = (d.places if d.kin_places is None else d.kin_places)[keep]
     numbers = d.columns[cols]
     sent = spark.sparkContext.broadcast(d.y[np.ix_(keep, cols)])
-    each = max(1, COLUMNS // (1 + n_perm))
+    each = max(1, min(COLUMNS, CELLS // len(places)) // (1 + n_perm))
     chunks = [slice(a, min(a + each, len(cols))) for a in range(0, len(cols), each)]
     lanes = min(LANES, -(-len(chunks) // 4))
     spectra = (_lowrank_spectra(panel, kin_places, x, folds) if rank == "low" else _spectra(panel, kin_places, x, folds, plain)).persist()
     pinv = np.linalg.pinv(x)
 
-    def rotated(m: dict[str, np.ndarray], chunk: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rotated(m: dict[str, np.ndarray], chunk: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray | linalg.Off | None]:
         y = columns_of(sent.value[:, chunk], numbers[chunk], n_perm, seed)
         if plain:
-            return y, m["u"].T @ y, np.zeros(y.shape[1])
+            uy = m["u"].T @ y
+            return y, uy, linalg.off_basis(m["u"], x, m["ux"], y, uy)
         return (y, *linalg.rotated(linalg.Spectrum(m["s"], m["u"], x, pinv, int(m["rest"])), y))
 
     def fit(table: pa.Table) -> pa.Table:
-        m, lane = unpack(table.column("model")[0].as_py()), table.column("lane")[0].as_py()
+        m, lane = opened(table.column("model")[0].as_py(), x, plain), table.column("lane")[0].as_py()
         own, deltas = range(lane, len(chunks), lanes), []
         for c in own:
             _, uy, off = rotated(m, chunks[c])
-            deltas.append(linalg.plain_fit(m["s"], m["ux"], uy, reml) if plain else linalg.fit_delta(linalg.Spectrum(m["s"], m["u"], x, pinv, int(m["rest"])), uy, off))
+            deltas.append(linalg.plain_fit(m["s"], m["ux"], uy, reml, off) if plain else linalg.fit_delta(linalg.Spectrum(m["s"], m["u"], x, pinv, int(m["rest"])), uy, off))
         n = len(own)
         return pa.table({"fold": pa.array([table.column("fold")[0].as_py()] * n, pa.string()), "lane": pa.array([lane] * n, pa.int32()), "chunk": pa.array(list(own), pa.int32()), "log_delta": pa.array([x.tolist() for x in deltas], pa.list_(pa.float64()))})
 
@@ -178,7 +212,7 @@ def _scan_pattern(variants: DataFrame, panel: DataFrame, d: Design, keep: np.nda
         var_g = (np.where(called, dosage - mean[:, None], 0) ** 2).sum(1) / count
         del dosage, called
         own = models.sort_by("chunk")
-        m = unpack(own.column("model")[0].as_py())
+        m = opened(own.column("model")[0].as_py(), x, plain)
         spec = None if plain else linalg.Spectrum(m["s"], m["u"], x, pinv, int(m["rest"]))
         tested = m["u"].T @ z if plain else linalg.prepared(spec, z)
         frames = []
@@ -187,7 +221,7 @@ def _scan_pattern(variants: DataFrame, panel: DataFrame, d: Design, keep: np.nda
             y, uy, off = rotated(m, at)
             real, n = at.stop - at.start, len(index)
             if plain:
-                got = linalg.plain_wald(m["s"], m["ux"], uy, log_delta, tested)
+                got = linalg.plain_wald(m["s"], m["ux"], uy, log_delta, tested, off=linalg.with_tests(off, x, m["ux"], y, uy, z, tested))
                 got["sfve"] = np.full_like(got["f"], np.nan)
             else:
                 got = linalg.wald(spec, uy, off, log_delta, y, tested)
@@ -209,11 +243,19 @@ def _scan_pattern(variants: DataFrame, panel: DataFrame, d: Design, keep: np.nda
 
 
 def _spectra(panel: DataFrame, places: np.ndarray, x: np.ndarray, folds: dict[str, set[str]], plain: bool) -> DataFrame:
+    # Where x has rank below D, N3 drops a direction that only the whole matrix names.
+    if panel.count() < len(x) and (plain or np.linalg.matrix_rank(x) == x.shape[1]):
+
+        def factor(table: pa.Table) -> pa.Table:
+            return pa.table({"fold": [table.column("fold")[0].as_py()], "model": pa.array([factor_model(table, places, x, plain)], pa.binary())})
+
+        return fold_factors(panel, folds).groupBy("fold").applyInArrow(factor, "fold string, model binary")
+
     def decompose(table: pa.Table) -> pa.Table:
         k = assembled(table, len(x))
         if plain:
-            s, u, ux = linalg.plain_spectrum(k, x)
-            blob = pack(s=s, u=u, ux=ux)
+            s, u, _ = linalg.plain_spectrum(k, x)
+            blob = pack(s=s, u=u)
         else:
             spec = linalg.projected_spectrum(k, x)
             blob = pack(s=spec.s, u=spec.u, rest=np.array(0))
@@ -224,8 +266,7 @@ def _spectra(panel: DataFrame, places: np.ndarray, x: np.ndarray, folds: dict[st
 
 def _lowrank_spectra(panel: DataFrame, places: np.ndarray, x: np.ndarray, folds: dict[str, set[str]]) -> DataFrame:
     """Each fold's factor is gathered in one task: kinship variants are a bounded, spaced choice (S6), samples many."""
-    plan = panel.sparkSession.createDataFrame([(f, sorted(c)) for f, c in folds.items()], "fold string, out array<string>")
-    rows = panel.select(F.col("chrom").cast("string").alias("chrom"), "variant_idx", "dosage").join(F.broadcast(plan), F.expr("NOT array_contains(out, chrom)"))
+    rows = fold_factors(panel, folds)
 
     def decompose(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("variant_idx").to_numpy())

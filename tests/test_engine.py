@@ -323,3 +323,62 @@ def test_ties_of_the_rounding_hold_whatever_the_order_of_sums(spark, tmp_path):
     ranks = {r.iid: r.rank for r in catalog.QUERIES["rint_rank"](spark, d).collect()}
     assert {ranks[u] for u in range(60)} == {34.5} and {ranks[100 + u] for u in range(4)} == {2.5}
     assert len({r.value for r in catalog.QUERIES["rint"](spark, d).collect()}) == 2
+
+
+def _no_matrix(monkeypatch):
+    from kinweave.operators import epistasis
+
+    def refuse(*_):
+        raise AssertionError("fewer variants than samples need no matrix of samples")
+
+    monkeypatch.setattr(scan, "chromosome_sums", refuse)
+    monkeypatch.setattr(epistasis, "chromosome_sums", refuse)
+
+
+@pytest.mark.parametrize("loco", [True, False])
+def test_few_variants_need_no_matrix_of_samples(spark, inputs, monkeypatch, loco):
+    variants, samples, phenos, dosage, y, _ = inputs
+    _no_matrix(monkeypatch)
+    d = scan.design(samples, phenos.where("pheno_idx < 2"))
+    got = {(r.variant_idx, r.pheno_idx): r for r in scan.results(scan.scan(variants, d, loco=loco, n_perm=2)).collect()}
+    z, chrom, out = linalg.standardise(dosage).T, np.arange(24) // 8, 0
+    for c in range(3):
+        kept = chrom != c if loco else np.ones(24, bool)
+        spec = linalg.projected_spectrum(z[:, kept] @ z[:, kept].T / kept.sum(), np.ones((36, 1)))
+        uy, off = linalg.rotated(spec, y[:, :2])
+        want = linalg.wald(spec, uy, off, linalg.fit_delta(spec, uy, off), y[:, :2], z[:, chrom == c])
+        for i, row in zip(np.flatnonzero(chrom == c), want["f"], strict=True):
+            for p in range(2):
+                assert got[int(i), p].f == pytest.approx(row[p], rel=2e-5)
+                out += 1
+    assert out == len(got) == 48
+
+
+@pytest.mark.parametrize("reml", [False, True])
+def test_few_variants_on_the_plain_path(spark, inputs, monkeypatch, reml):
+    variants, samples, phenos, dosage, y, _ = inputs
+    _no_matrix(monkeypatch)
+    d = scan.design(samples, phenos.where("pheno_idx < 2"))
+    got = {(r.variant_idx, r.pheno_idx): r for r in scan.results(scan.scan(variants, d, rank="plain", reml=reml)).collect()}
+    z, chrom = linalg.standardise(dosage).T, np.arange(24) // 8
+    for c in range(3):
+        s, u, ux = linalg.plain_spectrum(z[:, chrom != c] @ z[:, chrom != c].T / 16, np.ones((36, 1)))
+        uy = u.T @ y[:, :2]
+        want = linalg.plain_wald(s, ux, uy, linalg.plain_fit(s, ux, uy, reml), u.T @ z[:, chrom == c])
+        for i, f, se in zip(np.flatnonzero(chrom == c), want["f"], want["se"], strict=True):
+            for p in range(2):
+                assert got[int(i), p].f == pytest.approx(f[p], rel=2e-5)
+                assert got[int(i), p].se == pytest.approx(se[p], rel=2e-5)
+
+
+def test_models_of_few_variants_travel_as_codes():
+    g = np.array([[0, 1, 2, np.nan], [2, 2, 0, 1]])
+    assert scan.coded(g).dtype == np.int8 and scan.coded(g + 0.5).dtype == float
+    assert scan.coded(np.where(np.isnan(g), -1.0, g)).dtype == float  # -1 would read as missing
+    assert scan.coded(g * 100).dtype == float
+    x = np.ones((30, 1))
+    dosage = np.random.default_rng(1).binomial(2, 0.4, (4, 30)) + 0.0
+    dosage[3] = dosage[2]  # a variant twice: one direction less
+    s, v = linalg.factor_basis(linalg.standardise(dosage).T)
+    m = scan.opened(scan.pack(s=s, v=v, codes=scan.coded(dosage)), x, False)
+    assert m["u"].shape == (30, 3) and np.allclose(m["u"].T @ m["u"], np.eye(3)) and m["rest"] == 26
