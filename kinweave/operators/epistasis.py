@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from kinweave.functions.special import f_isf, f_sf, f_sf_udf
 from kinweave.operators import linalg
 from kinweave.operators.genotype import standardise
-from kinweave.operators.kinship import assembled, chromosome_sums, dosage_matrix, fold_tiles
-from kinweave.operators.scan import Design, pack, unpack
+from kinweave.operators.kinship import assembled, chromosome_sums, dosage_matrix, fold_factors, fold_tiles
+from kinweave.operators.scan import Design, factor_model, opened, pack, unpack
 
-#: Anchors of a task, and numbers of a batch of products (1 GB).
-ANCHORS, PRODUCTS = 64, 1 << 27
+#: Anchors of a task, and numbers of a batch of products (64 MB).
+ANCHORS, PRODUCTS = 64, 1 << 23
 PAIRS = "pheno_idx int, perm int, i int, j int, f double, beta double, se double, p double"
 
 
@@ -80,13 +80,24 @@ def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = No
     def columns() -> np.ndarray:
         return np.column_stack([sent.value, permuted(sent.value, n_perm, seed)])
 
+    panel = variants if kinship is None else kinship
+    few = panel.count() < len(x)
+
     def fit(table: pa.Table) -> pa.Table:
-        s, u, ux = linalg.plain_spectrum(assembled(table, len(x)), x)
+        if few:
+            blob = factor_model(table, places, x, True)
+        else:
+            s, u, _ = linalg.plain_spectrum(assembled(table, len(x)), x)
+            blob = pack(s=s, u=u)
+        m, y = opened(blob, x, True), columns()
+        uy = m["u"].T @ y
+        log_delta = linalg.plain_fit(m["s"], m["ux"], uy, off=linalg.off_basis(m["u"], x, m["ux"], y, uy))
         lo, hi = table.column("fold")[0].as_py().split("\t")
-        return pa.table({"lo": [lo], "hi": [hi], "model": pa.array([pack(s=s, u=u, ux=ux, log_delta=linalg.plain_fit(s, ux, u.T @ columns()))], pa.binary())})
+        return pa.table({"lo": [lo], "hi": [hi], "model": pa.array([pack(log_delta=log_delta, **unpack(blob))], pa.binary())})
 
     folds = {f"{lo}\t{hi}": {lo, hi} for _, _, lo, hi, _ in tiles}
-    models = fold_tiles(chromosome_sums(variants if kinship is None else kinship, places), folds).groupBy("fold").applyInArrow(fit, "lo string, hi string, model binary").persist()
+    parts_of = fold_factors(panel, folds) if few else fold_tiles(chromosome_sums(panel, places), folds)
+    models = parts_of.groupBy("fold").applyInArrow(fit, "lo string, hi string, model binary").persist()
     left = listed.withColumnRenamed("chrom", "ca").join(rows.select("variant_idx", "pos", "dosage"), "variant_idx").join(plan, "ca")
     left = left.select("ca", "cb", "lo", "hi", F.pmod(F.xxhash64("variant_idx"), F.col("parts")).cast("int").alias("part"), F.col("variant_idx").alias("i"), F.col("pos").alias("pi"), F.col("dosage").alias("di"), "phenos")
     parts = left.select(F.col("ca").alias("ca_"), F.col("cb").alias("cb_"), F.col("part").alias("part_"), "lo", "hi").distinct()
@@ -99,13 +110,14 @@ def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = No
     def test(one: pa.Table, two: pa.Table) -> pa.Table:
         if not one.num_rows:
             return schema.empty_table()
-        model = unpack(next(m for m in two.column("model").to_pylist() if m))
+        model = opened(next(m for m in two.column("model").to_pylist() if m), x, True)
         two = two.filter(pa.compute.greater_equal(two.column("variant_idx"), 0)).sort_by("variant_idx")
         jj, pj = two.column("variant_idx").to_numpy(), two.column("pos").to_numpy()
         sj = linalg.standardise(dosage_matrix(two.column("dosage").combine_chunks(), places))
         same = one.column("ca")[0].as_py() == one.column("cb")[0].as_py()
         si = linalg.standardise(dosage_matrix(one.column("di").combine_chunks(), places))
-        ui, uy = model["u"].T @ si.T, model["u"].T @ columns()
+        y = columns()
+        ui, uy = model["u"].T @ si.T, model["u"].T @ y
         ii, pi, phenos = one.column("i").to_numpy(), one.column("pi").to_numpy(), one.column("phenos").to_pylist()
         out, top = [], np.full(uy.shape[1] - real, -np.inf)
         step = max(1, PRODUCTS // max(1, sj.size))
@@ -121,12 +133,15 @@ def scan_pairs(variants: DataFrame, d: Design, *, anchors: DataFrame | None = No
                     chosen.append((r, np.flatnonzero(ok)))
             if not chosen:
                 continue
-            rotated = model["u"].T @ np.concatenate([linalg.standardise(sj[k] * si[r]) for r, k in chosen]).T
+            products = np.concatenate([linalg.standardise(sj[k] * si[r]) for r, k in chosen]).T
+            rotated = model["u"].T @ products
             at = 0
             for r, k in chosen:
-                us = rotated[:, at : at + len(k)]
+                us, t = rotated[:, at : at + len(k)], products[:, at : at + len(k)]
                 at += len(k)
-                got = linalg.plain_wald(model["s"], np.column_stack([model["ux"], ui[:, r]]), uy, model["log_delta"], us, guard=True)
+                xi, uxi = np.column_stack([x, si[r]]), np.column_stack([model["ux"], ui[:, r]])
+                off = linalg.with_tests(linalg.off_basis(model["u"], xi, uxi, y, uy), xi, uxi, y, uy, t, us)
+                got = linalg.plain_wald(model["s"], uxi, uy, model["log_delta"], us, guard=True, off=off)
                 with np.errstate(all="ignore"):
                     top = np.fmax(top, np.fmax.reduce(got["f"][:, real:], axis=0, initial=-np.inf))
                 for p in range(real) if phenos[r] is None else np.flatnonzero(np.isin(numbers, phenos[r])):

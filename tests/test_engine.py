@@ -371,6 +371,22 @@ def test_few_variants_on_the_plain_path(spark, inputs, monkeypatch, reml):
                 assert got[int(i), p].se == pytest.approx(se[p], rel=2e-5)
 
 
+def test_pairs_of_few_variants_need_no_matrix_of_samples(spark, inputs, monkeypatch):
+    variants, samples, phenos, dosage, y, _ = inputs
+    _no_matrix(monkeypatch)
+    d = scan.design(samples, phenos.where("pheno_idx < 2"))
+    got = {(r.pheno_idx, r.i, r.j): r.f for r in scan_pairs(variants, d, p_threshold=0.999999, n_perm=2, window=500).where("perm < 0").collect()}
+    z, chrom = linalg.standardise(dosage), np.arange(24) // 8
+    for i, j in ((0, 9), (3, 5), (8, 20)):
+        kept = (chrom != chrom[i]) & (chrom != chrom[j])
+        s, u, ux = linalg.plain_spectrum(z[kept].T @ z[kept] / kept.sum(), np.ones((36, 1)))
+        uy = u.T @ y[:, :2]
+        t = linalg.standardise((z[i] * z[j])[None])[0]
+        want = linalg.plain_wald(s, np.column_stack([ux, u.T @ z[i]]), uy, linalg.plain_fit(s, ux, uy), (u.T @ t)[:, None], guard=True)["f"][0]
+        for p in range(2):
+            assert got[p, i, j] == pytest.approx(want[p], rel=2e-5)
+
+
 def test_models_of_few_variants_travel_as_codes():
     g = np.array([[0, 1, 2, np.nan], [2, 2, 0, 1]])
     assert scan.coded(g).dtype == np.int8 and scan.coded(g + 0.5).dtype == float
