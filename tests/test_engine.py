@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import clump, genotype, linalg, post, prep, scan
+from kinweave.operators import clump, genotype, kinship, linalg, post, prep, scan
 from kinweave.operators.epistasis import permuted, scan_pairs
 from kinweave.plans import catalog
 from kinweave.sources import files, panels, sinks
@@ -398,3 +398,36 @@ def test_models_of_few_variants_travel_as_codes():
     s, v = linalg.factor_basis(linalg.standardise(dosage).T)
     m = scan.opened(scan.pack(s=s, v=v, codes=scan.coded(dosage)), x, False)
     assert m["u"].shape == (30, 3) and np.allclose(m["u"].T @ m["u"], np.eye(3)) and m["rest"] == 26
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.2])
+def test_pair_kinship_by_blocks(spark, monkeypatch, gaps):
+    monkeypatch.setattr(kinship, "TILE", 4)
+    rng = np.random.default_rng(2)
+    rows = [(v, v // 3 + 1, 1000 * v, f"s{i:02}", int(rng.integers(0, 3))) for v in range(9) for i in range(15) if rng.random() >= gaps]
+    calls = spark.createDataFrame(rows, "variant_idx int, chrom int, pos int, iid string, dosage int")
+    z = {(r.variant_idx, r.iid): r.z for r in genotype.standardise(calls).collect()}
+    want, wanted = {}, {}
+    ids = sorted({r[3] for r in rows})
+    for a, i in enumerate(ids):
+        for j in ids[a:]:
+            both = [(v, z[v, i] * z[v, j]) for v in range(9) if (v, i) in z and (v, j) in z]
+            if both:
+                want[i, j] = np.mean([t for _, t in both])
+            for c in {v // 3 for v, _ in both}:
+                rest = [t for v, t in both if v // 3 != c]
+                wanted[c + 1, i, j] = np.mean(rest) if rest else None
+    got = {(r.i, r.j): r.k for r in kinship.pair_kinship(calls).collect()}
+    assert got == pytest.approx(want)
+    left = kinship.pair_kinship(calls, loco=True).collect()
+    assert len(left) == len(wanted)
+    for r in left:
+        assert r.k == (None if wanted[r.chrom, r.i, r.j] is None else pytest.approx(wanted[r.chrom, r.i, r.j]))
+    alone = kinship.pair_kinship(calls.where("chrom = 1"), loco=True).collect()
+    assert alone and all(r.k is None for r in alone)
+
+
+@pytest.mark.parametrize("name", ["grm", "loco_grm"])
+def test_pairs_of_samples_are_not_joined_variant_by_variant(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "[variant_idx" not in "".join(x for x in plan.splitlines() if "Join" in x and "iid" not in x)
