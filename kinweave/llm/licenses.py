@@ -18,8 +18,10 @@ join is exact:
   common prefix word must reach o;
 * what is left is verified on the full sets, then window by window.
 
-The table of templates is a constant of this module, so it is broadcast, and
-the counts that come to the driver are one per template word.
+Texts are cut into words once; what later steps need of them, and of texts that
+hold ``THRESHOLD`` of some template's words the text, is written to the shared
+folder. The table of templates is a constant of this module, so it is broadcast,
+and the counts that come to the driver are one per known word.
 
 Beside the join stand the base labels: the places where a known phrase's words
 stand one after the other.
@@ -31,11 +33,15 @@ for itself. Only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.storage import materialize
+
 #: Words after lower-casing, as a pattern for both engines.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
@@ -79,13 +85,24 @@ def words_of(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
-def token_order(docs: DataFrame, text_col: str) -> list[str]:
-    """Template words, rarest first by documents that hold them (ties by word); as many rows as templates have words."""
-    vocabulary = sorted({w for _, _, words in _template_rows() for w in words})
-    known = F.array(*map(F.lit, vocabulary))
-    held = docs.select(F.explode(F.array_intersect(known, words_of(lowered(F.col(text_col))))).alias("token"))
-    counts = {r.token: r.n for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+def vocabulary() -> list[str]:
+    """The words of templates and phrases."""
+    return sorted({w for _, _, words in _template_rows() for w in words} | {w for phrase in PHRASES for w in phrase.split()})
+
+
+def token_order(docs: DataFrame) -> list[str]:
+    """Known words, rarest first by texts that hold them (column held), ties by word; as many rows as there are known words."""
+    counts = {r.token: r.n for r in docs.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sorted(vocabulary(), key=lambda w: (counts.get(w, 0), w))
+
+
+def needed(n: int, threshold: float) -> int:
+    """Words of a template of n that a block must hold."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def _any(conditions) -> Column:
+    return functools.reduce(operator.or_, conditions)
 
 
 def prefix_index(order: list[str], threshold: float = THRESHOLD) -> list[tuple[str, int, str, int, int, int, list[str]]]:
@@ -95,7 +112,7 @@ def prefix_index(order: list[str], threshold: float = THRESHOLD) -> list[tuple[s
     for i, label, words in _template_rows():
         words = sorted(words, key=rank.__getitem__)
         n = len(words)
-        need = max(1, math.ceil(threshold * n - 1e-9))
+        need = needed(n, threshold)
         out += [(w, i, label, place, n, need, words) for place, w in enumerate(words[: n - need + 1])]
     return out
 
@@ -136,29 +153,27 @@ def base_columns(norm: Column) -> dict[str, Column]:
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, blocks: bool = False) -> DataFrame:
     """A row per text with its words, base places and labels; with ``blocks``, a row per block and template that meet."""
     spark = docs.sparkSession
-    order = token_order(docs, text_col)
+    # One pass over the texts: words once a text; only texts that hold enough of a template, or a phrase's words, go on with more.
+    docs = docs.select(F.col(id_col).alias("i"), lowered(F.col(text_col)).alias("low"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "i", "low", words_of(F.col("low")).alias("words"))
+    docs = docs.withColumn("held", F.array_intersect(F.array(*map(F.lit, vocabulary())), "words"))
+    has = lambda words, n: F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= n
+    phrase = _any(has(phrase.split(), len(set(phrase.split()))) for phrase in PHRASES)
+    enough = _any(has(words, needed(len(words), threshold)) for _, _, words in _template_rows())
+    norm = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    docs = docs.select("row", "i", "held", F.size("words").cast("long").alias("n_words"), F.when(phrase, norm).alias("norm"), F.when(enough, F.col("low")).alias("low"))
+    facts = base_columns(F.col("norm"))
+    docs = materialize(docs.select("row", "i", "held", "n_words", "low", *[c.alias(k) for k, c in facts.items()]), "licenses")
+    order = token_order(docs)
     index = prefix_index(order, threshold)
     starts = F.array(*map(F.lit, sorted({r[0] for r in index})))
     known = F.array(*map(F.lit, order))
     telling = deciding_words()
     templates = spark.createDataFrame([(*r, *telling[r[1]]) for r in index], "token string, template int, label string, place int, n int, need int, words array<string>, must array<string>, must_not array<string>")
 
-    # One pass over the texts: words once a text; only blocks with a prefix word go on.
-    docs = docs.select(F.col(id_col).alias("i"), lowered(F.col(text_col)).alias("low"))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "i", "low", words_of(F.col("low")).alias("words"))
-    phrase = F.contains("low", F.lit("license")) | F.col("low").rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
-    norm = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    # Only blocks with a prefix word go on.
     some = F.filter(F.split("low", GAP), lambda line: F.arrays_overlap(words_of(line), starts))
-    none = F.lit(None)
-    docs = docs.select(
-        "row",
-        "i",
-        F.size("words").cast("long").alias("n_words"),
-        F.when(phrase, norm).alias("norm"),
-        F.when(F.arrays_overlap("words", starts), some).otherwise(none).alias("lines"),
-    )
-    facts = base_columns(F.col("norm"))
-    docs = docs.select("row", "i", "n_words", "lines", *[c.alias(k) for k, c in facts.items()])
+    docs = docs.withColumn("lines", F.when(F.arrays_overlap("held", starts), some))
     docs = docs.select("row", "i", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base", F.array().cast("array<string>")).alias("base"), F.posexplode_outer("lines").alias("block", "line"))
     tokens = F.array_distinct(words_of(F.col("line")))
     docs = docs.withColumn("tokens", tokens).withColumn("held", F.array_intersect(known, F.col("tokens"))).withColumn("n_tokens", F.size("tokens"))

@@ -175,3 +175,18 @@ def test_same_paths_as_the_library(model, texts):
     own = pieces.Pieces([q.piece for q in proto.pieces], [q.score for q in proto.pieces], model.kinds)
     for _, t, _ in texts[:40]:
         assert own.encode(t[:60]) == library.encode(t[:60])
+
+
+def test_license_scan_reads_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    texts = ["Released under the MIT License", "plain words", None, "a\n\nLicensed under CC BY-NC 4.0\n\nb"]
+
+    def rows(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: "MIT,mit", 1: "", 2: "", 3: "CC-BY-NC-4.0,cc-by"}
+    assert seen.value == len(texts)
