@@ -15,9 +15,10 @@ gathers more.
 
 Searching. Queries are nodes of the graph. A search holds a pool of the best
 nodes seen; in each step the ``WIDTH`` best ones not yet opened are joined to
-their lists, the lists' nodes are scored where they lie, and the scores go back
-to the query. Pools and lists are bounded by parameters and don't grow with
-the data.
+their lists of ids, and the ids not in the pool yet, once for each query, to
+their vectors, which go to the query and are scored there. No row holds more
+than two vectors while searching. Pools and lists are bounded by parameters and
+don't grow with the data.
 
 Scores while building and searching use unit vectors in single precision (8
 bits cannot order near copies); the whole pool is scored again by
@@ -190,31 +191,30 @@ def build(nodes: DataFrame, dim: int) -> DataFrame:
 
 
 def _score(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """The opened node's list, scored against the query: query, ids, s."""
+    """Nodes met and their queries' vectors: query, ids, s."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 2048):
-            part = batch.slice(a, 2048)
-            x = _bytes(part.column(1), dim)
-            n = part.column(2).value_lengths().to_numpy()
-            ids = part.column(2).flatten().to_numpy()
-            y = _bytes(part.column(3), dim)
-            s = np.einsum("nd,nd->n", np.repeat(x, n, axis=0), y)
-            yield pa.record_batch([part.column(0), _lists(ids, n, pa.int64()), _lists(s, n, pa.float32())], names=["query", "ids", "s"])
+        if not batch.num_rows:
+            continue
+        query, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        s = np.einsum("nd,nd->n", _bytes(batch.column(2), dim), _bytes(batch.column(3), dim))
+        o = np.argsort(query, kind="stable")
+        names, n = np.unique(query, return_counts=True)
+        yield pa.record_batch([pa.array(names), _lists(node[o], n, pa.int64()), _lists(s[o], n, pa.float32())], names=["query", "ids", "s"])
 
 
 def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """New pool of each query: the POOL best seen, which of them are opened, and the WIDTH best that are opened next."""
     for batch in batches:
-        out = []
-        for query, ids, s, opened in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            i = np.concatenate([np.asarray(x, np.int64) for x in ids])
-            v = np.concatenate([np.asarray(x, np.float32) for x in s])
-            done = np.concatenate([np.asarray(x, np.int64) for x in opened])
-            _, i, v = top_lists(np.zeros(len(i), np.int64), i, v, POOL)
-            i, v = i[i != query], v[i != query]
-            ahead = i[~np.isin(i, done)][:WIDTH]
-            out.append((query, i, v, np.concatenate([done, ahead]), ahead))
-        yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int64())), pa.array([r[2] for r in out], pa.list_(pa.float32())), pa.array([r[3] for r in out], pa.list_(pa.int64())), pa.array([r[4] for r in out], pa.list_(pa.int64()))], names=["query", "ids", "s", "opened", "ahead"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            out = []
+            for query, *lists in zip(part.column(0).to_pylist(), *part.columns[1:], strict=True):
+                i, v, done = (x.values.flatten().to_numpy(zero_copy_only=False) for x in lists)
+                _, i, v = top_lists(np.zeros(len(i), np.int64), i, v, POOL)
+                i, v = i[i != query], v[i != query]
+                ahead = i[~np.isin(i, done)][:WIDTH]
+                out.append((query, i, v, np.concatenate([done, ahead]), ahead))
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int64())), pa.array([r[2] for r in out], pa.list_(pa.float32())), pa.array([r[3] for r in out], pa.list_(pa.int64())), pa.array([r[4] for r in out], pa.list_(pa.int64()))], names=["query", "ids", "s", "opened", "ahead"])
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -231,9 +231,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
     nodes = materialize(members.groupBy("v").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("members")).withColumn("h", F.xxhash64("v")), "vectors")
     codes = materialize(nodes.select("node", "v").mapInArrow(lambda b: _prepare(b, dim), "node long, q binary, codes array<long>"), "codes")
     graph = build(codes, dim)
-    lists = graph.select(F.col("node").alias("c"), F.posexplode("nb").alias("p", "node")).join(codes.select("node", "q"), "node")
-    lists = lists.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "node", "q"))).alias("l"))
-    lists = materialize(lists.select(F.col("c").alias("node"), F.col("l.node").alias("nb"), F.expr("aggregate(l.q, cast('' as binary), (a, x) -> concat(a, x))").alias("qs")), "lists")
+    links, coded = graph.select("node", "nb"), codes.select("node", F.col("q").alias("y"))
 
     asked = rows.where("is_query").select("id", "v").withColumn("h", F.xxhash64("v"))
     asked = materialize(asked.join(nodes.select("h", "v", "node"), ["h", "v"]).select(F.col("id").alias("query_id"), "node").distinct(), "queries")
@@ -242,8 +240,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
     state = ask.select("query", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("s"), F.array("query").alias("opened"), F.array("query").alias("ahead"))
     pooled = "query long, ids array<long>, s array<float>, opened array<long>, ahead array<long>"
     for _ in range(STEPS):
-        opening = state.select("query", F.explode("ahead").alias("node")).join(ask, "query").join(lists, "node").select("query", "q", "nb", "qs")
-        scored = opening.mapInArrow(lambda b: _score(b, dim), "query long, ids array<long>, s array<float>")
+        opening = state.select("query", F.explode("ahead").alias("node")).join(links, "node").groupBy("query").agg(F.flatten(F.collect_list("nb")).alias("met"))
+        unseen = F.array_except("met", F.concat("opened", "ids"))
+        met = state.select("query", "ids", "opened").join(opening, "query").select("query", F.explode(unseen).alias("node"))
+        met = met.join(coded, "node").join(ask, "query").select("query", "node", "q", "y")
+        scored = met.mapInArrow(lambda b: _score(b, dim), "query long, ids array<long>, s array<float>")
         both = scored.withColumn("opened", F.array().cast("array<long>")).unionByName(state.select("query", "ids", "s", "opened"))
         grouped = both.groupBy("query").agg(F.collect_list("ids").alias("ids"), F.collect_list("s").alias("s"), F.collect_list("opened").alias("opened"))
         state = materialize(grouped.mapInArrow(_pool, pooled), "pools")

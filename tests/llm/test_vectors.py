@@ -88,3 +88,21 @@ def test_near_copies_keep_their_order(spark):
     for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 5 for q in queries]) >= 0.9
+
+
+def test_no_row_holds_many_vectors(table, monkeypatch):
+    # Rows with the 32 vectors of a list made the search the peak of an executor's memory.
+    _, df = table
+    widest, write = {}, neighbours.materialize
+
+    def written(frame, name):
+        out = write(frame, name)
+        for c, kind in out.dtypes:
+            if kind == "binary":
+                widest[f"{name}.{c}"] = out.agg(F.max(F.octet_length(c))).first()[0]
+        return out
+
+    monkeypatch.setattr(neighbours, "materialize", written)
+    monkeypatch.setattr(neighbours, "STEPS", 1)
+    neighbours.nearest(df, F.col("vec_id") % 50 == 0)
+    assert widest and set(widest.values()) == {16 * 4}, widest
