@@ -112,32 +112,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, lists old and found: the K best; edges that were not old are new."""
     for batch in batches:
-        node = batch.column(0).to_numpy()
-        row, b, s, old = [], [], [], []
-        for ids, score, was in ((1, 2, True), (3, 4, False)):
-            lists, scores = batch.column(ids), batch.column(score)
-            n = lists.value_lengths().fill_null(0).to_numpy()
-            row.append(np.repeat(np.arange(len(node)), n))
-            b.append(lists.flatten().to_numpy())
-            s.append(scores.flatten().to_numpy())
-            old.append(np.full(len(b[-1]), was))
-        row, b, s = np.concatenate(row), np.concatenate(b), np.concatenate(s)
-        known = set(zip(row[: len(old[0])].tolist(), b[: len(old[0])].tolist(), strict=True))
-        r, b, s = top_lists(row, b, s, K)
-        new = np.array([x not in known for x in zip(r.tolist(), b.tolist(), strict=True)], bool)
-        count = np.bincount(r, minlength=len(node))
-        yield pa.record_batch([pa.array(node), _lists(b, count, pa.int64()), _lists(s, count, pa.float32()), _lists(new, count, pa.bool_())], names=["node", "nb", "s", "new"])
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            node = part.column(0).to_numpy()
+            row, b, s, old = [], [], [], []
+            for ids, score, was in ((1, 2, True), (3, 4, False)):
+                lists, scores = part.column(ids), part.column(score)
+                n = lists.value_lengths().fill_null(0).to_numpy()
+                row.append(np.repeat(np.arange(len(node)), n))
+                b.append(lists.flatten().to_numpy())
+                s.append(scores.flatten().to_numpy())
+                old.append(np.full(len(b[-1]), was))
+            row, b, s = np.concatenate(row), np.concatenate(b), np.concatenate(s)
+            known = set(zip(row[: len(old[0])].tolist(), b[: len(old[0])].tolist(), strict=True))
+            r, b, s = top_lists(row, b, s, K)
+            new = np.array([x not in known for x in zip(r.tolist(), b.tolist(), strict=True)], bool)
+            count = np.bincount(r, minlength=len(node))
+            yield pa.record_batch([pa.array(node), _lists(b, count, pa.int64()), _lists(s, count, pa.float32()), _lists(new, count, pa.bool_())], names=["node", "nb", "s", "new"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their first column, in batches that split no value of it."""
+    rest = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        # What came before and has the key of this batch's first row belongs to it; of each batch the last key may go on.
+        if rest and rest[0].column(0)[0].as_py() != key[0]:
+            yield pa.concat_batches(rest)
+            rest = []
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield pa.concat_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.concat_batches(rest)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     """At each centre all pairs with a new edge are scored; those that beat an end's worst edge go out, the best K an end."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256).column(1)
-            n = part.value_lengths().to_numpy()
-            inner = part.flatten()
-            m, q, bound, new = (inner.field(f) for f in ("m", "q", "bound", "new"))
-            width = int(n.max(initial=0))
+    for batch in _whole(batches):
+        centre = batch.column(0).to_numpy()
+        heads = np.append(np.flatnonzero(np.diff(centre, prepend=centre[0] - 1)), len(centre))
+        for at in range(0, len(heads) - 1, 256):
+            ends = heads[at : at + 257]
+            m, q, bound, new = batch.slice(ends[0], ends[-1] - ends[0]).columns[1:]
+            n = np.diff(ends)
+            width = int(n.max())
             if width < 2:
                 continue
             slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -178,7 +201,7 @@ def build(nodes: DataFrame, dim: int) -> DataFrame:
         listing = edges.withColumn("r", F.row_number().over(near)).where(F.col("r") <= K).select(F.col("nb").alias("c"), F.col("node").alias("m"), "new")
         meeting = listing.unionByName(edges.select(F.col("node").alias("c"), F.col("nb").alias("m"), "new")).groupBy("c", "m").agg(F.max("new").alias("new"))
         meeting = meeting.join(data.select(F.col("node").alias("m"), "q", "bound"), "m")
-        centres = meeting.groupBy("c").agg(F.collect_list(F.struct("m", "q", "bound", "new")).alias("b"))
+        centres = meeting.select("c", "m", "q", "bound", "new").repartition("c").sortWithinPartitions("c")
         found = centres.mapInArrow(lambda b: _meet(b, dim), "a long, b long, s float")
         best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
         found = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= K)

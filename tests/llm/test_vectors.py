@@ -91,9 +91,10 @@ def test_near_copies_keep_their_order(spark):
 
 
 def test_no_row_holds_many_vectors(table, monkeypatch):
-    # Rows with the 32 vectors of a list made the search the peak of an executor's memory.
+    # Rows with the 32 vectors of a list made the search the peak of an executor's memory; rows of 64 met at a centre.
     _, df = table
     widest, write = {}, neighbours.materialize
+    handed, mapped = [], type(df).mapInArrow
 
     def written(frame, name):
         out = write(frame, name)
@@ -102,7 +103,25 @@ def test_no_row_holds_many_vectors(table, monkeypatch):
                 widest[f"{name}.{c}"] = out.agg(F.max(F.octet_length(c))).first()[0]
         return out
 
+    def handing(frame, *args, **more):
+        handed.append(frame.schema.simpleString())
+        return mapped(frame, *args, **more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", handing)
     monkeypatch.setattr(neighbours, "materialize", written)
     monkeypatch.setattr(neighbours, "STEPS", 1)
     neighbours.nearest(df, F.col("vec_id") % 50 == 0)
     assert widest and set(widest.values()) == {16 * 4}, widest
+    assert handed and not [x for x in handed if "array<struct" in x or "array<binary" in x]
+
+
+def test_batches_split_no_centre():
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, 3, 4, 7, 7]
+    for size in range(1, 15):
+        parts = [pa.record_batch([pa.array(keys[a : a + size], pa.int64()), pa.array(range(a, min(a + size, len(keys))), pa.int64())], names=["c", "m"]) for a in range(0, len(keys), size)]
+        out = list(neighbours._whole(iter([parts[0].slice(0, 0), *parts])))
+        assert [x for b in out for x in b.column(1).to_pylist()] == list(range(len(keys)))
+        assert sum(len(set(b.column(0).to_pylist())) for b in out) == len(set(keys))
+    assert list(neighbours._whole(iter([]))) == []
