@@ -16,8 +16,8 @@ gathers more.
 Searching. Queries are nodes of the graph. A search holds a pool of the best
 nodes seen; in each step the ``WIDTH`` best ones not yet opened are joined to
 their lists of ids, and the ids not in the pool yet, once for each query, to
-their vectors, which go to the query and are scored there. No row holds more
-than two vectors while searching. Pools and lists are bounded by parameters and
+their vectors; the query's vector goes there, and the scores go back. No row
+holds more than two vectors while searching. Pools and lists are bounded by parameters and
 don't grow with the data.
 
 Scores while building and searching use unit vectors in single precision (8
@@ -199,12 +199,12 @@ def build(nodes: DataFrame, dim: int) -> DataFrame:
         # Those that list the centre, the K closest; those that the centre lists. Vectors join once for each.
         near = Window.partitionBy("nb").orderBy(F.desc("s"), "node")
         listing = edges.withColumn("r", F.row_number().over(near)).where(F.col("r") <= K).select(F.col("nb").alias("c"), F.col("node").alias("m"), "new")
-        meeting = listing.unionByName(edges.select(F.col("node").alias("c"), F.col("nb").alias("m"), "new")).groupBy("c", "m").agg(F.max("new").alias("new"))
+        meeting = listing.unionByName(edges.select(F.col("node").alias("c"), F.col("nb").alias("m"), "new")).repartition("m").groupBy("c", "m").agg(F.max("new").alias("new"))
         meeting = meeting.join(data.select(F.col("node").alias("m"), "q", "bound"), "m")
         centres = meeting.select("c", "m", "q", "bound", "new").repartition("c").sortWithinPartitions("c")
         found = centres.mapInArrow(lambda b: _meet(b, dim), "a long, b long, s float")
         best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-        found = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= K)
+        found = found.repartition("a").distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= K)
         found = found.groupBy("a").agg(F.collect_list(F.struct("b", "s")).alias("f")).select(F.col("a").alias("node"), F.col("f.b").alias("nb1"), F.col("f.s").alias("s1"))
         graph = materialize(graph.select("node", "nb", "s").join(found, "node", "left").mapInArrow(_merge, merged), "graph")
         fresh, edges = graph.agg(F.sum(F.size(F.filter("new", lambda x: x))), F.sum(F.size("nb"))).first()
@@ -231,13 +231,14 @@ def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             out = []
-            for query, *lists in zip(part.column(0).to_pylist(), *part.columns[1:], strict=True):
+            for query, *lists in zip(part.column(0).to_pylist(), *part.columns[2:], strict=True):
                 i, v, done = (x.values.flatten().to_numpy(zero_copy_only=False) for x in lists)
                 _, i, v = top_lists(np.zeros(len(i), np.int64), i, v, POOL)
                 i, v = i[i != query], v[i != query]
                 ahead = i[~np.isin(i, done)][:WIDTH]
                 out.append((query, i, v, np.concatenate([done, ahead]), ahead))
-            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int64())), pa.array([r[2] for r in out], pa.list_(pa.float32())), pa.array([r[3] for r in out], pa.list_(pa.int64())), pa.array([r[4] for r in out], pa.list_(pa.int64()))], names=["query", "ids", "s", "opened", "ahead"])
+            arrays = [pa.array([r[c] for r in out], pa.list_(kind)) for c, kind in ((1, pa.int64()), (2, pa.float32()), (3, pa.int64()), (4, pa.int64()))]
+            yield pa.record_batch([part.column(0), part.column(1), *arrays], names=["query", "q", "ids", "s", "opened", "ahead"])
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -260,16 +261,17 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
     asked = materialize(asked.join(nodes.select("h", "v", "node"), ["h", "v"]).select(F.col("id").alias("query_id"), "node").distinct(), "queries")
     ask = asked.select("node").distinct().join(codes.select("node", "q"), "node").select(F.col("node").alias("query"), "q")
     ask = materialize(ask, "query-nodes")
-    state = ask.select("query", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("s"), F.array("query").alias("opened"), F.array("query").alias("ahead"))
-    pooled = "query long, ids array<long>, s array<float>, opened array<long>, ahead array<long>"
+    none = F.array().cast("array<long>"), F.array().cast("array<float>")
+    state = ask.select("query", "q", none[0].alias("ids"), none[1].alias("s"), F.array("query").alias("opened"), F.array("query").alias("ahead"))
+    pooled = "query long, q binary, ids array<long>, s array<float>, opened array<long>, ahead array<long>"
     for _ in range(STEPS):
         opening = state.select("query", F.explode("ahead").alias("node")).join(links, "node").groupBy("query").agg(F.flatten(F.collect_list("nb")).alias("met"))
         unseen = F.array_except("met", F.concat("opened", "ids"))
-        met = state.select("query", "ids", "opened").join(opening, "query").select("query", F.explode(unseen).alias("node"))
-        met = met.join(coded, "node").join(ask, "query").select("query", "node", "q", "y")
+        met = state.select("query", "q", "ids", "opened").join(opening, "query").select("query", "q", F.explode(unseen).alias("node"))
+        met = met.join(coded, "node").select("query", "node", "q", "y")
         scored = met.mapInArrow(lambda b: _score(b, dim), "query long, ids array<long>, s array<float>")
-        both = scored.withColumn("opened", F.array().cast("array<long>")).unionByName(state.select("query", "ids", "s", "opened"))
-        grouped = both.groupBy("query").agg(F.collect_list("ids").alias("ids"), F.collect_list("s").alias("s"), F.collect_list("opened").alias("opened"))
+        both = scored.select("query", F.lit(None).cast("binary").alias("q"), "ids", "s", none[0].alias("opened")).unionByName(state.select("query", "q", "ids", "s", "opened"))
+        grouped = both.groupBy("query").agg(F.max("q").alias("q"), F.collect_list("ids").alias("ids"), F.collect_list("s").alias("s"), F.collect_list("opened").alias("opened"))
         state = materialize(grouped.mapInArrow(_pool, pooled), "pools")
     near = state.select("query", F.explode(F.array_distinct(F.concat(F.array("query"), "ids"))).alias("node"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
