@@ -431,3 +431,32 @@ def test_pair_kinship_by_blocks(spark, monkeypatch, gaps):
 def test_pairs_of_samples_are_not_joined_variant_by_variant(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "[variant_idx" not in "".join(x for x in plan.splitlines() if "Join" in x and "iid" not in x)
+
+
+def _shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_pair_kinship_moves_packed_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kinship, "TILE", 8)
+    rng = np.random.default_rng(4)
+    rows = [(v, v // 10 + 1, 1000 * v, i, int(x)) for i in range(600) for v, x in enumerate(rng.integers(0, 3, 30))]
+    calls = spark.createDataFrame(rows, "variant_idx int, chrom int, pos int, iid long, dosage int").repartition(4).localCheckpoint()
+    began = _shuffled(spark)
+    assert kinship.pair_kinship(calls).count() == 600 * 601 // 2
+    assert _shuffled(spark) - began < 1_500_000
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.2])
+@pytest.mark.parametrize("loco", [False, True])
+def test_pair_kinship_in_strips(spark, monkeypatch, gaps, loco):
+    rng = np.random.default_rng(3)
+    rows = [(v, v // 3 + 1, 1000 * v, i, int(rng.integers(0, 3))) for v in range(9) for i in [*range(15), None] if rng.random() >= gaps]
+    calls = spark.createDataFrame(rows, "variant_idx int, chrom int, pos int, iid int, dosage int")
+    want = sorted(kinship.pair_kinship(calls, loco).collect(), key=lambda r: r[:-1])
+    assert all(r.i is not None and r.i <= r.j for r in want) and len({r[:-1] for r in want}) == len(want)
+    monkeypatch.setattr(kinship, "TILE", 4)
+    monkeypatch.setattr(kinship, "STRIP", 6)
+    got = sorted(kinship.pair_kinship(calls, loco, digits=3).collect(), key=lambda r: r[:-1])
+    assert [r[:-1] for r in got] == [r[:-1] for r in want]
+    assert all((g.k is None and w.k is None) or (abs(g.k - w.k) < 5.01e-4 and g.k == round(g.k, 3)) for g, w in zip(got, want, strict=True))
