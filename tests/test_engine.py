@@ -460,3 +460,13 @@ def test_pair_kinship_in_strips(spark, monkeypatch, gaps, loco):
     got = sorted(kinship.pair_kinship(calls, loco, digits=3).collect(), key=lambda r: r[:-1])
     assert [r[:-1] for r in got] == [r[:-1] for r in want]
     assert all((g.k is None and w.k is None) or (abs(g.k - w.k) < 5.01e-4 and g.k == round(g.k, 3)) for g, w in zip(got, want, strict=True))
+
+
+def test_leave_out_kinship_moves_packed_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(kinship, "TILE", 4)
+    rng = np.random.default_rng(6)
+    d = _events_at(spark, tmp_path, [(i, i % 400, "view", 1.0, f'{{"k": {k}}}') for i, k in enumerate(rng.integers(0, 100, 4_000))])
+    began = _shuffled(spark)
+    assert catalog.QUERIES["loco_grm"](spark, d).count() == 10 * 400 * 401 // 2
+    moved = _shuffled(spark) - began
+    assert moved < 2_000_000, moved
